@@ -40,10 +40,6 @@ RULES = (
 )
 
 
-def _pick(array: str, i: Column | str) -> str:
-    return f"element_at({array}, {i})"
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the ratios are made of."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -114,4 +110,37 @@ def judged(docs: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-ORACLE_SQL = None
+def _bounds_sql(rules=RULES) -> str:
+    return " AND ".join([f"{n} >= {a}" for n, a, _ in rules if a is not None] + [f"{n} <= {b}" for n, _, b in rules if b is not None])
+
+
+ORACLE_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+s AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
+m AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    len(lines) AS n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines,
+    len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(regexp_replace(x, '[.,!?;:]+$', ''))))) AS n_stop_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_alpha_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '[!?]{{2}}$|[#*$%&|<>]{{2}}$'))) AS n_loud_words
+  FROM w LEFT JOIN r USING (doc_id)),
+q AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_ratio,
+    CASE WHEN n_words > 0 THEN n_stop_words / n_words ELSE 0.0 END AS stop_word_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_word_ratio, CASE WHEN n_lines > 0 THEN n_bullet_lines / n_lines ELSE 0.0 END AS bullet_line_ratio,
+    CASE WHEN n_lines > 0 THEN n_ellipsis_lines / n_lines ELSE 0.0 END AS ellipsis_line_ratio, CASE WHEN n_words > 0 THEN n_alpha_words / n_words ELSE 0.0 END AS alpha_word_ratio,
+    CASE WHEN n_words > 0 THEN n_loud_words / n_words ELSE 0.0 END AS loud_word_ratio
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_bounds_sql()} AS kept,
+  mean_word_chars, symbol_ratio, stop_word_ratio, dup_line_ratio, repeat_word_ratio, bullet_line_ratio, ellipsis_line_ratio, alpha_word_ratio, loud_word_ratio
+FROM q
+"""
