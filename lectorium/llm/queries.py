@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from . import rules, secrets, simhash
 from .common import table
-from .simhash import near_duplicates
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_rules(spark, sf_dir):
+    return rules.judged(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op5_secrets": op5_secrets, "op7_rules": op7_rules, "op9_simhash": op9_simhash}
+ORACLES = {"op7_rules": rules.ORACLE_SQL}
