@@ -28,7 +28,7 @@ from .common import by_slice, documents, of, partitions, stored, texts
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-LEAF = 8192
+LEAF = 1 << 16
 MAX_LEAVES = 1 << 14
 SAMPLE = 40_000
 CANDIDATES = 48
