@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules, secrets, simhash
+from . import packing, rules, secrets, simhash
 from .common import table
 
 
@@ -14,9 +14,13 @@ def op7_rules(spark, sf_dir):
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op7_rules": op7_rules, "op9_simhash": op9_simhash}
+QUERIES = {"op5_secrets": op5_secrets, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash}
 ORACLES = {"op7_rules": rules.ORACLE_SQL}
