@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, rules, secrets, simhash, tokenfile
+from . import packing, quality, rules, secrets, simhash, tokenfile
 from .common import table
 
 
+def op2_quality(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_tokens(spark, sf_dir):
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_tokens": op3_tokens, "op5_secrets": op5_secrets, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash}
+QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op5_secrets": op5_secrets, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash}
 ORACLES = {"op7_rules": rules.ORACLE_SQL}
