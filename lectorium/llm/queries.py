@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, rules, secrets, simhash, tokenfile
+from . import digest, packing, quality, rules, secrets, simhash, tokenfile
 from .common import table
 
 
@@ -30,5 +30,9 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op5_secrets": op5_secrets, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash}
+def op10_digest(spark, sf_dir):
+    return digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op5_secrets": op5_secrets, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
 ORACLES = {"op7_rules": rules.ORACLE_SQL}
