@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest, packing, quality, rules, secrets, simhash, tokenfile
+from . import digest, packing, quality, rules, secrets, simhash, tokenfile, wrapper
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark, sf_dir):
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_rules(spark, sf_dir):
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_digest(spark, sf_dir):
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op5_secrets": op5_secrets, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
+QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op5_secrets": op5_secrets, "op6_html": op6_html, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
 ORACLES = {"op7_rules": rules.ORACLE_SQL}
