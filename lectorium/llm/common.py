@@ -46,10 +46,10 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE_BYTES of text, so that long texts don't pile up in memory."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text, so that long texts don't pile up in memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // SLICE_BYTES
+    group = np.cumsum(sizes) // most
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
     for a, b in zip(starts, np.r_[starts[1:], len(group)], strict=True):
         yield batch.slice(int(a), int(b - a))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest, packing, quality, rules, secrets, simhash, tokenfile, wrapper
+from . import digest, licenses, packing, quality, rules, secrets, simhash, tokenfile, wrapper
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_tokens(spark, sf_dir):
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_digest(spark, sf_dir):
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op5_secrets": op5_secrets, "op6_html": op6_html, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
+QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op4_licenses": op4_licenses, "op5_secrets": op5_secrets, "op6_html": op6_html, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
 ORACLES = {"op7_rules": rules.ORACLE_SQL}
