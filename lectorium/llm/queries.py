@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import digest, licenses, packing, quality, rules, secrets, simhash, tokenfile, wrapper
+from . import digest, licenses, packing, pieces, quality, rules, secrets, simhash, tokenfile, wrapper
 from .common import table
 
 
+def op1_pieces(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +46,5 @@ def op10_digest(spark, sf_dir):
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_tokens": op3_tokens, "op4_licenses": op4_licenses, "op5_secrets": op5_secrets, "op6_html": op6_html, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
+QUERIES = {"op1_pieces": op1_pieces, "op2_quality": op2_quality, "op3_tokens": op3_tokens, "op4_licenses": op4_licenses, "op5_secrets": op5_secrets, "op6_html": op6_html, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
 ORACLES = {"op7_rules": rules.ORACLE_SQL}
