@@ -40,11 +40,14 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the ratios are made of."""
+def measured(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and the counts that the ratios are made of, and the struct row of the named columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select(
-        "doc_id", "t", F.filter(F.split("t", WORD_SPLIT), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines")
+    row = [F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")] if columns else []
+    also = ["row"] if columns else []
+    fence = [F.monotonically_increasing_id().alias("fence")] if columns else []  # no filter is pushed below it, where each count would be made anew
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *row).select(
+        "doc_id", "t", *also, F.filter(F.split("t", WORD_SPLIT), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines")
     )
     # (hash of the window that starts at word i, i) in order; the first of a run and the rest of it both count
     windows = words.withColumn(
@@ -60,6 +63,8 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     return found.select(
         "doc_id",
+        *also,
+        *fence,
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("t", "[\\x20\\x09-\\x0D]", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -102,14 +107,22 @@ def compile_rules(rules=RULES) -> Column:
     return verdict
 
 
+def failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judged(docs: DataFrame, rules=RULES) -> DataFrame:
     """The contract's rows: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept"), *(c.alias(n) for n, c in ratios().items())
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), (~failed() & compile_rules(rules)).alias("kept"), *(c.alias(n) for n, c in ratios().items())
     )
 
 
+def kept(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; nothing is shuffled."""
+    return measured(docs, *docs.columns).where(~failed() & compile_rules(rules) & (F.col("fence") >= 0)).select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def _bounds_sql(rules=RULES) -> str:
     return " AND ".join([f"{n} >= {a}" for n, a, _ in rules if a is not None] + [f"{n} <= {b}" for n, _, b in rules if b is not None])
 

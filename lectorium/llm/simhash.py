@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_slice, documents, of, partitions, stored, texts
@@ -207,3 +207,18 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, fingerprint (16 hex digits), component_id."""
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """One row of docs for each class, with all its columns: that of the smallest doc_id and, among its rows, of the least text hash.
+
+    Rows with a null doc_id stay only where their whole class has none; one of them stays.
+    """
+    found = classes(docs)
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    out = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    if again.isEmpty():
+        return out
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
+    return out.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
