@@ -1,0 +1 @@
+"""Streams. The library has no streaming operation; its expressions and filters are row-wise and run on streaming frames as they are."""
