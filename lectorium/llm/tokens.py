@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, with a bounded cache of whole words.
+"""Token ids by the tokenizers library, with a bounded cache of words. A full cache keeps the words that were used again.
 
 Byte-level BPE never merges across the boundaries that its splitting pattern sets, and that pattern always sets one before
 a space or line feed that follows a character other than white space. So a text may be cut there, each piece's ids
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -27,8 +27,21 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Known(dict):
+    """Numbers of words; a new word gets the next one and is noted in fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Encoder:
-    """encode(texts) gives ids and their offsets; words' ids are kept in a table that is emptied when it is full."""
+    """encode(texts) gives ids and their offsets; words' ids are kept in a table that is thinned when it is full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,10 +55,25 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.known = _Known()
+        self.starts, self.sizes, self.uses = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.arena, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def _thin(self) -> None:
+        """Drop words that were used once, or all where that leaves more than half of the table."""
+        keep = np.flatnonzero(self.uses[: len(self.known)] > 1)
+        if len(keep) > CACHE // 2:
+            self._clear()
+            return
+        words, sizes, starts, arena = list(self.known), self.sizes[keep], self.starts[keep], self.arena
+        self._clear()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = arena[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        for i in keep.tolist():
+            self.known[words[i]]
+        self.known.fresh = []
+        self._store(np.arange(len(keep)), ids, sizes)
+
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for a in range(0, len(pieces), BATCH) for e in self.tokenizer.encode_batch_fast(pieces[a : a + BATCH], add_special_tokens=False)]
 
@@ -58,7 +86,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin, with the end."""
         if len(self.known) > CACHE:
-            self._clear()
+            self._thin()
         cut: list[list[str] | None] = []
         direct: list[int] = []
         for at, text in enumerate(texts):
@@ -80,12 +108,11 @@ class Encoder:
         lists = [c for c in cut if c is not None]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = list(chain.from_iterable(lists))
-        code = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(code < 0)
-        if len(missing):
-            lacking = list(dict.fromkeys(flat[i] for i in missing.tolist()))
-            self._add_keys(lacking)
-            code[missing] = np.fromiter(map(known.__getitem__, (flat[i] for i in missing.tolist())), np.int64, len(missing))
+        code = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        if known.fresh:
+            self._add_keys(known.fresh, len(known) - len(known.fresh))
+            known.fresh = []
+        self.uses[: len(known)] += np.bincount(code, minlength=len(known)).astype(np.int32)
         sizes = self.sizes[code]
         ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
@@ -104,36 +131,40 @@ class Encoder:
             offsets.append(offsets[-1] + len(parts[-1]))
         return np.concatenate(parts) if parts else joined, np.array(offsets, np.int64)
 
-    def _add_keys(self, keys: list[str]) -> None:
-        """Compute words that the table lacks, most of them side by side in longer texts: each begins a token there."""
-        plain = [k for k in keys if k and k[0] != "\0" and not k[-1].isspace() and k[-1] not in SPACES]
+    def _add_keys(self, keys: list[str], first: int) -> None:
+        """Compute new words, numbered from first, most of them side by side in longer texts: each begins a token there."""
+        plain = [i for i, k in enumerate(keys) if k and k[0] != "\0" and not k[-1].isspace() and k[-1] not in SPACES]
+        rest = sorted(set(range(len(keys))).difference(plain))
         for a in range(0, len(plain), BATCH):
             some = plain[a : a + BATCH]
-            ids = np.array(self._ids(["".join(k if k[0] == "\n" else " " + k for k in some)])[0], np.uint32)
+            texts = [self._whole_word(keys[i]) for i in some]
+            ids = np.array(self._ids(["".join(texts)])[0], np.uint32)
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) == len(some) and starts[0] == 0:
-                self._store(some, ids, np.diff(np.r_[starts, len(ids)]))
+                self._store(first + np.array(some), ids, np.diff(np.r_[starts, len(ids)]))
             else:
-                self._store_lists(some, self._ids([k if k[0] == "\n" else " " + k for k in some]))
-        rest = [k for k in keys if k not in self.known]
-        if rest:
-            self._store_lists(rest, self._ids([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in rest]))
-
-    def _store_lists(self, keys: list[str], ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        self._store(keys, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
-
-    def _store(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        total, n = len(ids), len(keys)
+                rest += some
+        for a in range(0, len(rest), BATCH):
+            some = rest[a : a + BATCH]
+            ids = self._ids([self._whole_word(keys[i]) for i in some])
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            self._store(first + np.array(some), np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+
+    @staticmethod
+    def _whole_word(key: str) -> str:
+        """The text that a key stands for: a mark is no part of it, and a space was cut from the others but those that begin with a line feed."""
+        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, most = len(ids), int(numbers[-1]) + 1 if len(numbers) else 0
         while self.used + total > len(self.arena):
             self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
-        while self.filled + n > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while max(most, len(self.known)) > len(self.starts):
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         self.arena[self.used : self.used + total] = ids
-        self.starts[self.filled : self.filled + n] = self.used + np.r_[0, np.cumsum(sizes)[:-1]]
-        self.sizes[self.filled : self.filled + n] = sizes
-        self.known.update(zip(keys, range(self.filled, self.filled + n), strict=True))
-        self.filled, self.used = self.filled + n, self.used + total
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.used += total
 
 
 @lru_cache(maxsize=2)
