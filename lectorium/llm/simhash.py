@@ -15,6 +15,7 @@ doc_id gets the class of the others with its fingerprint, null if there are none
 
 from __future__ import annotations
 
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -214,11 +215,12 @@ def kept(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay only where their whole class has none; one of them stays.
     """
+    keep, turn = (f"{name}_{uuid.uuid4().hex}" for name in ("keep", "turn"))  # names that docs can't have
     found = classes(docs)
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
-    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(keep)).distinct()
+    out = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
     if again.isEmpty():
         return out
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
-    return out.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
+    return out.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
