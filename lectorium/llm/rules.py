@@ -45,7 +45,6 @@ def measured(docs: DataFrame, *columns: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = [F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")] if columns else []
     also = ["row"] if columns else []
-    fence = [F.monotonically_increasing_id().alias("fence")] if columns else []  # no filter is pushed below it, where each count would be made anew
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *row).select(
         "doc_id", "t", *also, F.filter(F.split("t", WORD_SPLIT), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines")
     )
@@ -61,10 +60,8 @@ def measured(docs: DataFrame, *columns: str) -> DataFrame:
             f"((j > 0 AND {same.format(a='j', b='greatest(j - 1, 0)')}) OR (j + 1 < size(h) AND {same.format(a='j', b='least(j + 1, size(h) - 1)')})) AS twice)), x -> x.twice), x -> x.i)"
         ),
     )
-    return found.select(
-        "doc_id",
-        *also,
-        *fence,
+    # from a generator of one row, as no filter on a count is pushed below that, where the count would be made anew for each mention
+    counts = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("t", "[\\x20\\x09-\\x0D]", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -77,6 +74,7 @@ def measured(docs: DataFrame, *columns: str) -> DataFrame:
         F.size(F.filter("w", lambda w: w.rlike("\\p{L}"))).cast("long").alias("n_alpha_words"),
         F.size(F.filter("w", lambda w: w.rlike("[!?]{2}$|[#*$%&|<>]{2}$"))).cast("long").alias("n_loud_words"),
     )
+    return found.select("doc_id", *also, F.inline(F.array(counts)))
 
 
 def ratios() -> dict[str, Column]:
@@ -120,7 +118,7 @@ def judged(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def kept(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; nothing is shuffled."""
-    return measured(docs, *docs.columns).where(~failed() & compile_rules(rules) & (F.col("fence") >= 0)).select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return measured(docs, *docs.columns).where(~failed() & compile_rules(rules)).select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _bounds_sql(rules=RULES) -> str:
