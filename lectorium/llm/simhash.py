@@ -210,13 +210,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class, with all its columns: that of the smallest doc_id and, among its rows, of the least text hash.
+def kept(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of docs for each class of found (doc_id, component_id; by default those of classes()), with all its columns: that of the smallest doc_id and, among its rows, of the least text hash.
 
     Rows with a null doc_id stay only where their whole class has none; one of them stays.
     """
     keep, turn = (f"{name}_{uuid.uuid4().hex}" for name in ("keep", "turn"))  # names that docs can't have
-    found = classes(docs)
+    found = classes(docs) if found is None else found
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(keep)).distinct()
     out = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
