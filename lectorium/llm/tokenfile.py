@@ -3,9 +3,9 @@
 A table of shards is the file format; Spark writes and reads it, so it can lie in any store. Documents are in ascending
 doc_id order within and across shards (spread by range). A shard holds whole documents of about SHARD ids. In it the most
 frequent pair of neighbouring symbols is replaced by a new nonterminal, again and again, until no pair occurs MIN_COUNT
-times or the nonterminals run out. Pairs that share no symbol don't touch each other's occurrences, so each round over the
-shard counts all pairs and replaces a batch of such, taken in order of frequency, with the same result as one after the other. No rule spans two
-documents. Stored are the rules, the length that each expands to, each document's place among the symbols and its number
+times or the nonterminals of two bytes run out. Pairs that share no symbol don't touch each other's occurrences, so each
+round over the shard replaces a batch of such, in order of frequency down to 1 / SPREAD of the highest, with the same
+result as one after the other. No rule spans two documents. Stored are the rules, the length that each expands to, each document's place among the symbols and its number
 of ids: a document, or a range of its ids, is decoded from its own symbols alone.
 
 Payload, little-endian: magic "RPG1"; u32 documents, symbols, rules, first nonterminal; u8 bytes a symbol (2 or 4), 3 bytes of zero;
@@ -32,10 +32,9 @@ from .tokens import default_path, encoder
 
 END = 0
 SHARD = 1 << 20
-MIN_COUNT = 256
+MIN_COUNT = (9, 5)  # fewer replacements, at 2 and 4 bytes a symbol, save no more than the 16 bytes of their rule
 BATCH_PAIRS = 512
-HASH_BITS = 20
-ROUNDS = 8
+SPREAD = 2
 NO_PAIR = np.uint32(0xFFFFFFFF)
 MAGIC = b"RPG1"
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_ids", "<u8"), ("place", "<u8")])
@@ -44,32 +43,36 @@ SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.i
 READ = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("position", pa.int64()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _frequent_pairs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left << 32 | right) that occur least times or more, most frequent first, and the places of any of them."""
-    left, right = symbols[:-1], symbols[1:]
-    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
-    many = np.bincount(slot, minlength=1 << HASH_BITS) >= least
-    at = np.flatnonzero(many[slot] & (left != NO_PAIR) & (right != NO_PAIR))
-    pairs = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    found, index, count = np.unique(pairs, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    order = order[count[order] >= least]
-    rank = np.full(len(found), -1, np.int64)
-    rank[order] = np.arange(len(order))
-    rank = rank[index]
-    return found[order], np.stack([at[rank >= 0], rank[rank >= 0]])
-
-
-def compress(symbols: np.ndarray, first: int, least: int = MIN_COUNT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols after replacement, and the rules as rows (left, right); NO_PAIR in symbols parts what no rule may span."""
+def _codes(row: np.ndarray, at: np.ndarray, mark: int) -> np.ndarray:
+    """The pairs (left << 32 | right) at these places, without those that touch a mark."""
+    left, right = row[at], row[at + 1]
+    inside = (left != mark) & (right != mark)
+    return left[inside].astype(np.uint64) << np.uint64(32) | right[inside]
+
+
+def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols after replacement, and the rules as rows (left, right); NO_PAIR in symbols parts what no rule may span.
+
+    Counts are kept from round to round: a pair of older symbols only loses occurrences, and pairs of a new nonterminal all
+    come up in its own round, so a pair found below least is never needed again.
+    """
+    least = least or MIN_COUNT[first >= 1 << 16]
+    limit = (1 << 16) - 1 - first if first < 1 << 16 else len(symbols) // 2
+    mark = first + limit
+    row = np.where(symbols == NO_PAIR, np.uint32(mark), symbols)
+    partner = np.full(mark + 1, NO_PAIR, np.uint32)  # of each symbol that begins a pair of this round
+    name = np.zeros(mark + 1, np.uint32)
+    table, count = np.unique(_codes(row, np.arange(len(row) - 1), mark), return_counts=True)
     rules: list[np.ndarray] = []
     total = 0
-    limit = (1 << 16) - 1 - first if first < 1 << 16 else 1 << 16
-    for _ in range(rounds):
-        if len(symbols) < 2 or total >= limit:
+    while total < limit and (rounds is None or len(rules) < rounds):
+        live = count >= least
+        table, count = table[live], count[live]
+        if not len(table):
             break
-        pairs, places = _frequent_pairs(symbols, least)
-        left, right = (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist()
+        high = np.flatnonzero(count >= max(least, count.max() // SPREAD))
+        order = high[np.argsort(-count[high], kind="stable")]
+        left, right = (table[order] >> np.uint64(32)).tolist(), (table[order] & np.uint64(0xFFFFFFFF)).tolist()
         taken, busy = [], set()
         for i, (a, b) in enumerate(zip(left, right, strict=True)):
             if a not in busy and b not in busy:
@@ -77,29 +80,42 @@ def compress(symbols: np.ndarray, first: int, least: int = MIN_COUNT, rounds: in
                 busy.update((a, b))
             if len(taken) == min(BATCH_PAIRS, limit - total):
                 break
-        if not taken:
-            break
-        new = np.full(len(pairs), -1, np.int64)
-        new[taken] = first + total + np.arange(len(taken))
-        at, rank = places
-        name = new[rank]
-        at, name = at[name >= 0], name[name >= 0]
-        same = symbols[at] == symbols[at + 1]
+        begins, ends = np.array([left[i] for i in taken]), np.array([right[i] for i in taken])
+        partner[begins], name[begins] = ends, np.arange(len(taken))
+        at = np.flatnonzero(partner[row[:-1]] == row[1:])
+        partner[begins] = NO_PAIR
+        same = row[at] == row[at + 1]
         if same.any():  # in a stretch of one symbol every other pair is replaced, from its left
             runs = at[same]
             start = np.r_[True, np.diff(runs) != 1]
             begin = runs[np.maximum.accumulate(np.where(start, np.arange(len(runs)), 0))]
             drop = np.zeros(len(at), bool)
             drop[np.flatnonzero(same)] = (runs - begin) % 2 == 1
-            at, name = at[~drop], name[~drop]
-        symbols = symbols.copy()
-        symbols[at] = name.astype(np.uint32)
-        keep = np.ones(len(symbols), bool)
+            at = at[~drop]
+        own = name[row[at]]
+        few = np.bincount(own, minlength=len(taken)) < least
+        if few.any():  # pairs of one symbol that overlap themselves
+            count[order[np.array(taken)[few]]] = 0
+            continue
+        touched = np.zeros(len(row) + 1, bool)
+        touched[at] = touched[at + 1] = touched[at - 1] = True
+        lost = _codes(row, np.flatnonzero(touched[: len(row) - 1]), mark)
+        slot = np.minimum(np.searchsorted(table, lost), len(table) - 1)
+        count = count - np.bincount(slot[table[slot] == lost], minlength=len(table))
+        keep = np.ones(len(row), bool)
         keep[at + 1] = False
-        symbols = symbols[keep]
-        rules.append(np.stack([np.array([left[i] for i in taken]), np.array([right[i] for i in taken])], 1))
+        row[at] = first + total + own
+        row = row[keep]
+        placed = at - np.arange(len(at))
+        touched = np.zeros(len(row) + 1, bool)
+        touched[placed] = touched[placed - 1] = True
+        found, n = np.unique(_codes(row, np.flatnonzero(touched[: len(row) - 1]), mark), return_counts=True)
+        table, count = np.r_[table, found[n >= least]], np.r_[count, n[n >= least]]
+        by = np.argsort(table)
+        table, count = table[by], count[by]
+        rules.append(np.stack([begins, ends], 1))
         total += len(taken)
-    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return np.where(row == mark, NO_PAIR, row), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def expansions(rules: np.ndarray, first: int) -> np.ndarray:

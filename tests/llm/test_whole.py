@@ -1,9 +1,12 @@
 """Operators that once did less than the whole job, against brute force."""
 
+import collections
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from lectorium.llm import shingles
+from lectorium.llm import shingles, tokenfile
 
 
 def grams(text):
@@ -34,3 +37,23 @@ def test_pipeline_links_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in shingles.classes(docs).collect()} == dict(enumerate(label))
     assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()} == set(label)
+
+
+def test_pairs_are_replaced_until_a_rule_does_not_pay():
+    """No pair is left that occurs often enough, and random access holds."""
+    rng = np.random.default_rng(7)
+    docs = [rng.zipf(1.3, 3000).clip(0, 900).astype(np.uint32) for _ in range(8)] + [np.zeros(333, np.uint32)]
+    row = np.concatenate([x for d in docs for x in (d, [tokenfile.NO_PAIR])]).astype(np.uint32)
+    symbols, rules = tokenfile.compress(row, 901)
+    at = 0
+    counts = collections.Counter()
+    while at < len(symbols) - 1:  # without overlaps
+        a, b = int(symbols[at]), int(symbols[at + 1])
+        if tokenfile.NO_PAIR not in (a, b):
+            counts[a, b] += 1
+            at += a == b and at + 2 < len(symbols) and symbols[at + 2] == a
+        at += 1
+    assert max(counts.values()) < 9 and len(rules)
+    payload = tokenfile.write_shard(list(range(9)), np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])])
+    shard = tokenfile.Shard(payload)
+    assert all((shard.document(i) == d).all() and (shard.ids(i, 5, 200) == d[5:200]).all() for i, d in enumerate(docs))
