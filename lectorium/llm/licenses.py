@@ -4,8 +4,8 @@ Words are runs of letters and digits in lower case (bytes above 127 count as let
 words belongs to the class of the least power of two, h, that is n or more. Windows of 2h shingles begin every h, so one of
 them holds any occurrence whole; at containment 0.8 its Jaccard similarity to the template exceeds 0.4h / 2.1h = 0.19, and
 BANDS bands of one row each then collide with a probability above 1 - 0.81 ** 64 = 0.999998. Windows that collide in a band
-are compared with the class's templates word by word: a template matches where at least CONTAINMENT of its different
-shingles are in the window. Windows run on from one text to the next, but matches are looked for inside a text.
+are joined where they overlap or touch, and compared with the class's templates word by word: a template matches where at
+least CONTAINMENT of its different shingles are in 2h in a row, and each of several copies has a row. Windows run on from one text to the next, but matches are looked for inside a text.
 
 The templates of one pass travel with the tasks, at most PASS_BYTES of them; more are scanned in further passes.
 
@@ -87,7 +87,7 @@ class Templates:
 
     def __init__(self, named: dict[str, str]):
         self.multipliers = (np.random.default_rng(SEED).integers(1, 1 << 63, BANDS, np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.classes: dict[int, list[tuple[str, frozenset, int]]] = {}
+        self.classes: dict[int, list[tuple[str, dict, int]]] = {}
         keys: dict[int, list[np.ndarray]] = {}
         for name, text in named.items():
             words = words_of(text)
@@ -96,7 +96,10 @@ class Templates:
             hashes = word_hashes(b" ".join(words))[0]
             shingles = shingle_hashes(hashes)
             h = 1 << max(0, (len(shingles) - 1).bit_length())
-            self.classes.setdefault(h, []).append((name, frozenset(zip(*(words[i:] for i in range(SHINGLE)), strict=False)), len(words)))
+            places: dict[tuple, list[int]] = {}
+            for i, s in enumerate(zip(*(words[i:] for i in range(SHINGLE)), strict=False)):
+                places.setdefault(s, []).append(i)
+            self.classes.setdefault(h, []).append((name, places, len(words)))
             keys.setdefault(h, []).append(np.array([((shingles * m) >> np.uint64(32)).astype(np.uint32).min() for m in self.multipliers]))
         self.keys = {h: np.stack(k, 1) for h, k in keys.items()}
 
@@ -146,20 +149,72 @@ def candidate_windows(shingles: np.ndarray, templates: Templates) -> dict[int, n
     return {h: np.flatnonzero(hit) for h, hit in hits.items() if hit is not None}
 
 
-def _occurrences(words: list[bytes], first: int, template: tuple[str, frozenset, int], containment: float) -> list[tuple[float, int, int, str]]:
-    """(containment, first word, end word, name) of a template in words that begin at word `first` of their text."""
-    name, shingles, _ = template
-    at: dict[tuple, int] = {}
+def _pieces(words: list[bytes], places: dict[tuple, list[int]]) -> list[tuple[int, int]]:
+    """Stretches of shingles (first, last) that follow each other in the template as they do in words."""
+    out: list[tuple[int, int]] = []
+    open_: list[int] = []
     for i, s in enumerate(zip(*(words[i:] for i in range(SHINGLE)), strict=False)):
-        if s in shingles:
-            at.setdefault(s, i)
-    if len(at) < containment * len(shingles):
-        return []
-    return [(len(at) / len(shingles), first + min(at.values()), first + max(at.values()) + SHINGLE, name)]
+        own = places.get(s)
+        if own is None:
+            open_ = []
+            continue
+        after = [p for p in own if p - 1 in open_]
+        if after:
+            out[-1] = (out[-1][0], i)
+        else:
+            out.append((i, i))
+        open_ = after or own
+    return out
+
+
+def _before(pieces: list[tuple[int, int]], i: int) -> int:
+    """How many of the stretches share no word with stretch i and come before it."""
+    j = i
+    while j and pieces[j - 1][1] + SHINGLE > pieces[i][0]:
+        j -= 1
+    return j
+
+
+def _occurrences(words: list[bytes], first: int, template: tuple[str, dict, int], containment: float, most: int) -> list[tuple[float, int, int, str]]:
+    """(containment, first word, end word, name) of each occurrence of a template in words that begin at word `first` of their text.
+
+    An occurrence is one or more stretches in at most `most` shingles. Chosen are those apart from each other with the
+    greatest sum of 2 * containment - 1: so two copies count as two, and no tail of one with the head of the next takes their place.
+    """
+    name, places, _ = template
+    need = containment * len(places)
+    grams = list(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
+    pieces = _pieces(words, places)
+    best: list[tuple[float, int, int, float]] = [(0.0, 0, -1, 0.0)]  # up to each stretch: sum, minus words, first stretch of the last occurrence (-1: none), its share
+    for r, (_, last) in enumerate(pieces):
+        now = (*best[-1][:2], -1, 0.0)
+        seen: set = set()
+        for i in range(r, -1, -1):
+            begin, end = pieces[i]
+            if last - begin >= most:
+                break
+            seen.update(grams[begin : end + 1])
+            if len(seen) < need:
+                continue
+            j = _before(pieces, i)
+            share = len(seen) / len(places)
+            new = (best[j][0] + 2 * share - 1, best[j][1] - (last - begin), i, share)
+            if new[:2] > now[:2]:
+                now = new
+        best.append(now)
+    out, r = [], len(pieces)
+    while r:
+        _, _, i, share = best[r]
+        if i < 0:
+            r -= 1
+            continue
+        out.append((share, first + pieces[i][0], first + pieces[r - 1][1] + SHINGLE, name))
+        r = _before(pieces, i)
+    return out[::-1]
 
 
 def matches(rows: list[str], templates: Templates, containment: float = CONTAINMENT) -> list[list[tuple[int, int, str, float]]]:
-    """Per text (start, end, name, containment), code points; of overlapping ones of a template the best and first stays."""
+    """Per text (start, end, name, containment), code points; occurrences of one template don't overlap."""
     plain = [t.encode("utf-8", "surrogatepass").translate(_PLAIN) for t in rows]
     offsets = np.r_[0, np.cumsum(np.fromiter((len(p) + 1 for p in plain), np.int64, len(plain)))]
     data = b" ".join([*plain, b""])
@@ -169,23 +224,18 @@ def matches(rows: list[str], templates: Templates, containment: float = CONTAINM
     if not len(shingles):
         return out
     first_word = np.searchsorted(starts, offsets)
-    found: dict[int, set] = {}
+    found: dict[int, list] = {}
     for h, windows in candidate_windows(shingles, templates).items():
-        for j in windows.tolist():
-            a, b = j * h, min((j + 2) * h + SHINGLE - 1, len(starts))
+        for group in np.split(windows, np.flatnonzero(np.diff(windows) > 2) + 1) if len(windows) else []:  # windows that overlap or touch
+            a, b = int(group[0]) * h, min((int(group[-1]) + 2) * h + SHINGLE - 1, len(starts))
             doc = int(np.searchsorted(first_word, a, side="right")) - 1
             while doc < len(rows) and first_word[doc] < b:
                 x, y = max(a, int(first_word[doc])), min(b, int(first_word[doc + 1]))
                 words = [data[starts[i] : ends[i]] for i in range(x, y)]
                 for template in templates.classes[h]:
-                    for hit in _occurrences(words, x, template, containment):
-                        found.setdefault(doc, set()).add(hit)
+                    found.setdefault(doc, []).extend(_occurrences(words, x, template, containment, 2 * h))
                 doc += 1
-    for doc, hits in found.items():
-        taken: list[tuple[float, int, int, str]] = []
-        for hit in sorted(hits, key=lambda x: (-x[0], x[1], x[2], x[3])):
-            if all(hit[3] != t[3] or hit[2] <= t[1] or t[2] <= hit[1] for t in taken):
-                taken.append(hit)
+    for doc, taken in found.items():
         coded = rows[doc].encode("utf-8", "surrogatepass")
         for share, x, y, name in sorted(taken, key=lambda t: (t[1], t[2], t[3])):
             a, b = int(starts[x] - offsets[doc]), int(ends[y - 1] - offsets[doc])

@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from lectorium.llm import shingles, tokenfile
+from lectorium.llm import licenses, shingles, tokenfile
 
 
 def grams(text):
@@ -57,3 +57,22 @@ def test_pairs_are_replaced_until_a_rule_does_not_pay():
     payload = tokenfile.write_shard(list(range(9)), np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])])
     shard = tokenfile.Shard(payload)
     assert all((shard.document(i) == d).all() and (shard.ids(i, 5, 200) == d[5:200]).all() for i, d in enumerate(docs))
+
+
+def test_every_copy_of_a_license_has_a_row():
+    """Copies close together, whole and edited, at every alignment of the windows."""
+    rng = random.Random(6)
+    templates = licenses.Templates(licenses.TEMPLATES)
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "MPL-2.0", "MIT-notice"):
+        own = licenses.TEMPLATES[name].split()
+        for shift in range(0, 256, 17):
+            for gap in (0, 3, 40):
+                words, spans = [f"a{rng.randrange(9999)}" for _ in range(shift)], []
+                for _ in range(rng.choice((2, 3))):
+                    copy = list(own)
+                    if len(own) > 40:
+                        copy[rng.randrange(10, len(own) - 10)] = "changed"
+                    spans.append((len(" ".join([*words, ""])), len(" ".join([*words, *copy]).rstrip("./"))))
+                    words += copy + [f"b{rng.randrange(9999)}" for _ in range(gap)]
+                got = [m for m in licenses.matches([" ".join(words)], templates)[0] if m[2] == name]
+                assert [m[:2] for m in got] == spans, (name, shift, gap)
