@@ -3,10 +3,10 @@
 A table of shards is the file format; Spark writes and reads it, so it can lie in any store. Documents are in ascending
 doc_id order within and across shards (spread by range). A shard holds whole documents of about SHARD ids. In it the most
 frequent pair of neighbouring symbols is replaced by a new nonterminal, again and again, until no pair occurs MIN_COUNT
-times or the nonterminals of two bytes run out. Pairs that share no symbol don't touch each other's occurrences, so each
-round over the shard replaces a batch of such, in order of frequency down to 1 / SPREAD of the highest, with the same
-result as one after the other. No rule spans two documents. Stored are the rules, the length that each expands to, each document's place among the symbols and its number
-of ids: a document, or a range of its ids, is decoded from its own symbols alone.
+times or the nonterminals of two bytes run out. Each round over the shard replaces all pairs down to 1 / SPREAD of the
+highest count; where two overlap the more frequent one goes first, so the result is that of one after the other. No rule
+spans two documents. Stored are the rules, the length that each expands to, each document's place among the symbols and
+its number of ids: a document, or a range of its ids, is decoded from its own symbols alone.
 
 Payload, little-endian: magic "RPG1"; u32 documents, symbols, rules, first nonterminal; u8 bytes a symbol (2 or 4), 3 bytes of zero;
 per document i64 doc_id, u8 known (0: doc_id is null), u64 ids, u64 place of its first symbol; per rule u32 left, u32 right, u64 length of expansion;
@@ -33,8 +33,8 @@ from .tokens import default_path, encoder
 END = 0
 SHARD = 1 << 20
 MIN_COUNT = (9, 5)  # fewer replacements, at 2 and 4 bytes a symbol, save no more than the 16 bytes of their rule
-BATCH_PAIRS = 512
-SPREAD = 2
+SPREAD = 4
+SLOT_BITS = 16
 NO_PAIR = np.uint32(0xFFFFFFFF)
 MAGIC = b"RPG1"
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_ids", "<u8"), ("place", "<u8")])
@@ -43,26 +43,69 @@ SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.i
 READ = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("position", pa.int64()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _codes(row: np.ndarray, at: np.ndarray, mark: int) -> np.ndarray:
-    """The pairs (left << 32 | right) at these places, without those that touch a mark."""
-    left, right = row[at], row[at + 1]
-    inside = (left != mark) & (right != mark)
-    return left[inside].astype(np.uint64) << np.uint64(32) | right[inside]
+def _apart(at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places of pairs, in order, those to replace, and their ranks: the best rank first, without overlaps."""
+    chosen = [(at[:0], rank[:0])]
+    while len(at):
+        near, better = at[1:] - at[:-1] == 1, rank[1:] < rank[:-1]
+        win = np.ones(len(at), bool)
+        win[1:] &= ~near | better
+        win[:-1] &= ~(near & better)
+        chosen.append((at[win], rank[win]))
+        keep = ~win
+        keep[1:] &= ~(near & win[:-1])
+        keep[:-1] &= ~(near & win[1:])
+        at, rank = at[keep], rank[keep]
+    at, rank = (np.concatenate(x) for x in zip(*chosen, strict=True))
+    by = np.argsort(at)
+    return at[by], rank[by]
+
+
+def _every_other(at: np.ndarray, twin: np.ndarray) -> np.ndarray:
+    """Which places to keep, so that in a stretch of one symbol every other pair is replaced, from its left. twin: where both symbols are one."""
+    keep, own = np.ones(len(at), bool), np.flatnonzero(twin)
+    runs = at[own]
+    begin = runs[np.maximum.accumulate(np.where(np.diff(runs, prepend=-2) != 1, np.arange(len(runs)), 0))]
+    keep[own] = (runs - begin) % 2 == 0
+    return keep
+
+
+def _one_at_a_time(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs to take in one round: a pair of one symbol shares it with no other pair of that symbol."""
+    take, seen, alone = np.ones(len(left), bool), set(), set()
+    twins = np.unique(left[left == right])
+    for i in np.flatnonzero(np.isin(left, twins) | np.isin(right, twins)).tolist() if len(twins) else []:
+        own = {int(left[i]), int(right[i])}
+        take[i] = not own & (seen if len(own) == 1 else alone)
+        if take[i] and len(own) == 1:
+            alone |= own
+        seen |= own
+    return take
 
 
 def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Symbols after replacement, and the rules as rows (left, right); NO_PAIR in symbols parts what no rule may span.
 
     Counts are kept from round to round: a pair of older symbols only loses occurrences, and pairs of a new nonterminal all
-    come up in its own round, so a pair found below least is never needed again.
+    come up in its own round, so a pair found below least is never needed again. A pair that keeps fewer than least
+    occurrences beside the better ones of its round waits for the next.
     """
     least = least or MIN_COUNT[first >= 1 << 16]
     limit = (1 << 16) - 1 - first if first < 1 << 16 else len(symbols) // 2
     mark = first + limit
-    row = np.where(symbols == NO_PAIR, np.uint32(mark), symbols)
-    partner = np.full(mark + 1, NO_PAIR, np.uint32)  # of each symbol that begins a pair of this round
-    name = np.zeros(mark + 1, np.uint32)
-    table, count = np.unique(_codes(row, np.arange(len(row) - 1), mark), return_counts=True)
+    symbol, half, code = (np.uint16, 16, np.uint32) if mark < 1 << 16 else (np.uint32, 32, np.uint64)
+    row = np.where(symbols == NO_PAIR, np.uint32(mark), symbols).astype(symbol)
+
+    def pairs(at: np.ndarray) -> np.ndarray:
+        left, right = row[at], row[at + 1]
+        inside = (left != mark) & (right != mark)
+        return left[inside].astype(code) << code(half) | right[inside]
+
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return (keys * code(0x9E3779B1)) >> code(2 * half - SLOT_BITS)
+
+    begins, ends = np.zeros(mark + 1, bool), np.zeros(mark + 1, bool)  # symbols that begin and end a pair of this round
+    table, count = np.unique(pairs(np.arange(len(row) - 1)), return_counts=True)
     rules: list[np.ndarray] = []
     total = 0
     while total < limit and (rounds is None or len(rules) < rounds):
@@ -72,50 +115,54 @@ def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds:
             break
         high = np.flatnonzero(count >= max(least, count.max() // SPREAD))
         order = high[np.argsort(-count[high], kind="stable")]
-        left, right = (table[order] >> np.uint64(32)).tolist(), (table[order] & np.uint64(0xFFFFFFFF)).tolist()
-        taken, busy = [], set()
-        for i, (a, b) in enumerate(zip(left, right, strict=True)):
-            if a not in busy and b not in busy:
-                taken.append(i)  # a pair that touches one already taken waits for the next round's counts
-                busy.update((a, b))
-            if len(taken) == min(BATCH_PAIRS, limit - total):
+        order = order[_one_at_a_time(table[order] >> code(half), table[order] & code((1 << half) - 1))][: limit - total]
+        left, right = table[order] >> code(half), table[order] & code((1 << half) - 1)
+        by = np.argsort(table[order])
+        wanted = table[order][by]
+        begins[left] = ends[right] = True
+        at = np.flatnonzero(begins[row[:-1]] & ends[row[1:]])
+        begins[left] = ends[right] = False
+        filled = np.zeros(1 << SLOT_BITS, bool)
+        filled[slots(wanted)] = True
+        keys = row[at].astype(code) << code(half) | row[at + 1]
+        some = np.flatnonzero(filled[slots(keys)])
+        where = np.minimum(np.searchsorted(wanted, keys[some]), len(wanted) - 1)
+        found = wanted[where] == keys[some]
+        at, rank = at[some[found]], by[where[found]]
+        keep = _every_other(at, (left == right)[rank])
+        at, rank = at[keep], rank[keep]
+        good = np.bincount(rank, minlength=len(order)) >= least
+        count[order[~good]] = 0  # pairs of one symbol that overlap themselves
+        while good.any():
+            keep = good[rank]
+            at, rank = at[keep], rank[keep]
+            chosen, own = _apart(at, rank)
+            few = good & (np.bincount(own, minlength=len(order)) < least)
+            if not few.any():
                 break
-        begins, ends = np.array([left[i] for i in taken]), np.array([right[i] for i in taken])
-        partner[begins], name[begins] = ends, np.arange(len(taken))
-        at = np.flatnonzero(partner[row[:-1]] == row[1:])
-        partner[begins] = NO_PAIR
-        same = row[at] == row[at + 1]
-        if same.any():  # in a stretch of one symbol every other pair is replaced, from its left
-            runs = at[same]
-            start = np.r_[True, np.diff(runs) != 1]
-            begin = runs[np.maximum.accumulate(np.where(start, np.arange(len(runs)), 0))]
-            drop = np.zeros(len(at), bool)
-            drop[np.flatnonzero(same)] = (runs - begin) % 2 == 1
-            at = at[~drop]
-        own = name[row[at]]
-        few = np.bincount(own, minlength=len(taken)) < least
-        if few.any():  # pairs of one symbol that overlap themselves
-            count[order[np.array(taken)[few]]] = 0
+            good &= ~few
+        if not good.any():
             continue
         touched = np.zeros(len(row) + 1, bool)
-        touched[at] = touched[at + 1] = touched[at - 1] = True
-        lost = _codes(row, np.flatnonzero(touched[: len(row) - 1]), mark)
-        slot = np.minimum(np.searchsorted(table, lost), len(table) - 1)
-        count = count - np.bincount(slot[table[slot] == lost], minlength=len(table))
+        touched[chosen] = touched[chosen + 1] = touched[chosen - 1] = True
+        lost, times = np.unique(pairs(np.flatnonzero(touched[: len(row) - 1])), return_counts=True)
+        where = np.minimum(np.searchsorted(table, lost), len(table) - 1)
+        found = table[where] == lost
+        count[where[found]] -= times[found]
+        row[chosen] = (first + total + (np.cumsum(good) - 1)[own]).astype(symbol)
         keep = np.ones(len(row), bool)
-        keep[at + 1] = False
-        row[at] = first + total + own
+        keep[chosen + 1] = False
         row = row[keep]
-        placed = at - np.arange(len(at))
+        placed = chosen - np.arange(len(chosen))
         touched = np.zeros(len(row) + 1, bool)
         touched[placed] = touched[placed - 1] = True
-        found, n = np.unique(_codes(row, np.flatnonzero(touched[: len(row) - 1]), mark), return_counts=True)
-        table, count = np.r_[table, found[n >= least]], np.r_[count, n[n >= least]]
+        new, times = np.unique(pairs(np.flatnonzero(touched[: len(row) - 1])), return_counts=True)
+        table, count = np.r_[table, new[times >= least]], np.r_[count, times[times >= least]]
         by = np.argsort(table)
         table, count = table[by], count[by]
-        rules.append(np.stack([begins, ends], 1))
-        total += len(taken)
-    return np.where(row == mark, NO_PAIR, row), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+        rules.append(np.stack([left[good], right[good]], 1).astype(np.int64))
+        total += int(good.sum())
+    return np.where(row == mark, NO_PAIR, row.astype(np.uint32)), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def expansions(rules: np.ndarray, first: int) -> np.ndarray:
@@ -180,8 +227,13 @@ class Shard:
         return row.astype(np.uint32)
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents, without end tokens, and their bounds."""
-        return self._expand(self.symbols), np.r_[0, np.cumsum(self.docs["n_ids"].astype(np.int64))]
+        """Ids of all documents, without end tokens, and their bounds. Each rule is expanded once and copied to where it stands."""
+        known = np.r_[np.arange(self.first, dtype=np.uint32), self._expand(self.first + np.arange(len(self.rules)))]
+        begin = np.cumsum(self.lengths) - self.lengths
+        sizes = self.lengths[self.symbols]
+        ends = np.cumsum(sizes)
+        ids = known[np.repeat(begin[self.symbols] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.r_[0, np.cumsum(self.docs["n_ids"].astype(np.int64))]
 
     def document(self, i: int) -> np.ndarray:
         return self._expand(self.symbols[self.places[i] : self.places[i + 1]])
