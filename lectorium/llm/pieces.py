@@ -1,12 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 The model's merges run as an agenda: of a word's neighbouring symbols whose concatenation is a piece, the pair with the best
-score, the leftmost of equals, is merged next, until no pair is left. A candidate is skipped when the keyed hash of its word,
-variant and span falls below the dropout rate, so a seed always gives the same pieces. Words are merged many at a time, one
-step of each word's agenda in each round. No piece of the model reaches across the space before a word or across a line
-feed, so words are independent of each other; each occurrence draws one of VARIANTS variants of its word by a hash of seed,
-document and position, and the table of variants that are known is emptied when it is full. At rate zero the pieces are the
-library's own. Characters that the model lacks, and its own sign for spaces, fall back to bytes: decoding always gives
+score, the leftmost of equals, is merged next, until no pair is left. A candidate is skipped when the hash of seed, document,
+position of the word and span of the candidate falls below the dropout rate: every occurrence of a word has draws of its
+own, and a seed always gives the same pieces. Words are merged many at a time, one step of each word's agenda in each round.
+No piece of the model reaches across the space before a word or across a line feed, so words are independent of each other.
+Known words are kept with their pieces where nothing is skipped and with the merges that lead to these: an occurrence of
+which none of those is skipped has the same pieces, all others go through the agenda. The table is emptied when it is full.
+At rate zero the pieces are the library's own. Characters that the model lacks, and its own sign for spaces, fall back to bytes: decoding always gives
 the text back.
 
 Defined cases. Null and empty texts have no pieces and decode to the empty text. Repeated rows with one doc_id get the same
@@ -18,11 +19,10 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from .common import documents, of, text_slices, texts
@@ -30,7 +30,6 @@ from .quality import Lookup
 
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 8
 CACHE = 250_000
 OUTSIDE = 1 << 16
 SIGN, HIDDEN = "▁", "\udc81"
@@ -54,6 +53,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def least_hash(dropout: float) -> np.uint64:
+    """A candidate is skipped if its hash lies below."""
+    return np.uint64(min(int(dropout * 2**64), 2**64 - 1))
+
+
 class Model:
     """The model's pieces as tables: merges by pair of symbols, bytes by piece."""
 
@@ -101,41 +105,65 @@ class Model:
         at = np.minimum(self.look(key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.merged[at], -1)
 
-    def segment(self, units: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all units one after the other, and how many each has. keys: the units' hashes."""
+    def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each character of all units, and how many each unit has."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        symbol = self.first[np.frombuffer("".join(units).replace(" ", SIGN).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        word = np.repeat(np.arange(len(units)), sizes)
+        return self.first[np.frombuffer("".join(units).replace(" ", SIGN).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64), sizes
+
+    def segment(self, units: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all units one after the other, and how many each has. keys: the occurrences' hashes."""
+        return self.agenda(*self.symbols(units), keys, dropout)[:2]
+
+    def _ranks(self, symbol: np.ndarray, word: np.ndarray, place: np.ndarray, end: np.ndarray, at: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of the pairs that begin at these places; NONE for no piece and for skipped candidates."""
+        merged = self._merge(symbol[at], symbol[at + 1])
+        rank = np.where(merged >= 0, self.rank[merged], NONE)
+        if dropout:
+            some = np.flatnonzero(merged >= 0)
+            one = at[some]
+            span = (place[one] << 42 | end[one] << 21 | end[one + 1]).astype(np.uint64)
+            rank[some[_mixed(keys[word[one]] ^ _mixed(span)) < least_hash(dropout)]] = NONE
+        return rank, merged
+
+    def agenda(self, symbol: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids of all words one after the other and how many each has; hashes of the spans that were merged, and how many each word has."""
+        n = len(sizes)
+        word = np.repeat(np.arange(n), sizes)
         place = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        least = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-        done_symbol, done_word, done_place = [], [], []
+        end = place + 1
+        rank, merged = np.full(len(symbol), NONE), np.full(len(symbol), -1)
+        at = np.flatnonzero(word[1:] == word[:-1])
+        rank[at], merged[at] = self._ranks(symbol, word, place, end, at, keys, dropout)
+        done_symbol, done_word, done_place, spans, owners = [], [], [], [], []
         while len(symbol):
-            inside = word[1:] == word[:-1]
-            merged = np.full(len(symbol), -1, np.int64)
-            at = np.flatnonzero(inside)
-            merged[at] = self._merge(symbol[at], symbol[at + 1])
-            at = at[merged[at] >= 0]
-            if dropout and len(at):
-                end = np.r_[place[1:], 0]
-                after = np.r_[end[1:], 0]
-                last = np.r_[word[1:] != word[:-1], True]
-                stop = np.where(np.r_[last[1:], True][at], sizes[word[at]], after[at])
-                span = (place[at] << 42 | end[at] << 21 | stop).astype(np.uint64)
-                at = at[_mixed(keys[word[at]] ^ _mixed(span)) >= least]
-            priority = np.full(len(symbol), NONE)
-            priority[at] = self.rank[merged[at]] << 40 | at
             begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(priority, begin)
+            best = np.minimum.reduceat(np.where(rank < NONE, rank << 40 | np.arange(len(rank)), NONE), begin)
             open_ = best < NONE
             chosen = best[open_] & ((1 << 40) - 1)
-            closed = np.repeat(~open_, np.diff(np.r_[begin, len(symbol)]))
+            keep = np.repeat(open_, np.diff(np.r_[begin, len(symbol)]))
+            closed = ~keep
             done_symbol.append(symbol[closed])
             done_word.append(word[closed])
             done_place.append(place[closed])
-            symbol[chosen] = merged[chosen]
-            keep = ~closed
+            spans.append(place[chosen] << 42 | end[chosen] << 21 | end[chosen + 1])
+            owners.append(word[chosen])
+            symbol[chosen], end[chosen] = merged[chosen], end[chosen + 1]
+            rank[chosen] = NONE
             keep[chosen + 1] = False
-            symbol, word, place = symbol[keep], word[keep], place[keep]
+            moved = np.cumsum(keep) - 1
+            symbol, word, place, end, rank, merged = symbol[keep], word[keep], place[keep], end[keep], rank[keep], merged[keep]
+            at = moved[chosen]
+            at = np.r_[at, at[at > 0] - 1]  # pairs with the new symbol on either side
+            inside = (at + 1 < len(word)) & (word[np.minimum(at + 1, len(word) - 1)] == word[at])
+            rank[at[~inside]] = NONE
+            at = at[inside]
+            rank[at], merged[at] = self._ranks(symbol, word, place, end, at, keys, dropout)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        by = np.argsort(owner, kind="stable")
+        span = _mixed((np.concatenate(spans) if spans else owner)[by].astype(np.uint64))
+        return *self._ids(done_symbol, done_word, done_place, n), span, np.bincount(owner, minlength=n)
+
+    def _ids(self, done_symbol: list[np.ndarray], done_word: list[np.ndarray], done_place: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
         symbol, word, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_symbol, done_word, done_place))
         by = np.argsort(word << 32 | place, kind="stable")
         symbol, word = symbol[by], word[by]
@@ -152,7 +180,7 @@ class Model:
                 for k, i in enumerate(ids):
                     out[start[outside[index == c]] + k] = i
             symbol, word = out, np.repeat(word, length)
-        return symbol.astype(np.int32), np.bincount(word, minlength=len(units))
+        return symbol.astype(np.int32), np.bincount(word, minlength=n)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of ids[bounds[i]:bounds[i + 1]]."""
@@ -164,18 +192,45 @@ class Model:
         return [data[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(at, at[1:], strict=False)]
 
 
+class Arena:
+    """Rows of numbers, found by their own number."""
+
+    def __init__(self, kind: type):
+        self.data, self.used, self.starts, self.sizes, self.filled = np.zeros(1 << 16, kind), 0, np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def room(self, rows: int, numbers: int) -> None:
+        while self.used + numbers > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        while self.filled + rows > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+
+    def add(self, numbers: np.ndarray, sizes: np.ndarray) -> None:
+        self.room(len(sizes), len(numbers))
+        self.data[self.used : self.used + len(numbers)] = numbers
+        own = slice(self.filled, self.filled + len(sizes))
+        self.starts[own], self.sizes[own] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.filled = self.used + len(numbers), self.filled + len(sizes)
+
+    def rows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of these rows one after the other, and how many each has."""
+        return gathered(self.data, self.starts[wanted], self.sizes[wanted]), self.sizes[wanted]
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Encoder:
-    """encode(texts, doc_ids) with a table of known variants of words."""
+    """encode(texts, doc_ids) with a table of known words: their symbols, their pieces where nothing is skipped, and the merges that these take."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int = VARIANTS):
-        self.model, self.dropout, self.seed, self.variants = Model(path), dropout, seed, variants if dropout else 1
+    def __init__(self, path: str, dropout: float, seed: int):
+        self.model, self.dropout, self.seed = Model(path), dropout, seed
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.place = np.full(CACHE * self.variants, -1, np.int32)
-        self.starts, self.sizes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
-        self.arena, self.used = np.zeros(1 << 18, np.int32), 0
+        self.symbols, self.ids, self.merges = Arena(np.int32), Arena(np.int32), Arena(np.uint64)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -188,49 +243,42 @@ class Encoder:
             return ["", *text.replace("\n", " \n").split(" ")[1:]]
         return text.replace("\n", " \n").split(" ")
 
+    def _learn(self, units: list[str]) -> None:
+        symbols, sizes = self.model.symbols([u if u[:1] == "\n" else " " + u for u in units])
+        self.symbols.add(symbols, sizes)
+        ids, n_ids, merges, n_merges = self.model.agenda(symbols, sizes, np.zeros(len(units), np.uint64), 0.0)
+        self.ids.add(ids, n_ids)
+        self.merges.add(merges, n_merges)
+
     def encode(self, rows: list[str], doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and their bounds."""
-        if len(self.known) > CACHE // 2:
+        if len(self.known) > CACHE:
             self._clear()
         lists = [self.units(t) if t else [] for t in rows]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = list(chain.from_iterable(lists))
-        known = self.known
+        known, before = self.known, len(self.known)
         code = np.fromiter((known.setdefault(u, len(known)) for u in flat), np.int64, len(flat))
-        grown = len(known) * self.variants
-        if grown > len(self.place):
-            self.place = np.r_[self.place, np.full(grown, -1, np.int32)]
+        if len(known) > before:
+            self._learn(list(islice(known, before, None)))
+        starts, sizes, data = self.ids.starts[code], self.ids.sizes[code], self.ids.data
         ends = np.cumsum(counts)
-        turn = np.arange(len(flat)) - np.repeat(ends - counts, counts)
-        salt = _mixed(np.array([(d or 0) & (2**64 - 1) for d in doc_ids], np.uint64) ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & 2**64 - 1))
-        variant = (_mixed(np.repeat(salt, counts) + turn.astype(np.uint64)) % np.uint64(self.variants)).astype(np.int64)
-        slot = code * self.variants + variant
-        at = self.place[slot]
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            lacking, first = np.unique(slot[missing], return_index=True)
-            self._add(lacking, [flat[i] for i in missing[first].tolist()])
-            at = self.place[slot]
-        sizes = self.sizes[at].astype(np.int64)
-        stops = np.cumsum(sizes)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = self.arena[np.repeat(self.starts[at] - (stops - sizes), sizes) + np.arange(total)] if total else np.zeros(0, np.int32)
-        return ids, np.r_[0, stops][np.r_[0, ends]]
-
-    def _add(self, slots: np.ndarray, units: list[str]) -> None:
-        variant = (slots % self.variants).astype(np.uint64)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.seed) for u in units), np.uint64, len(units))
-        ids, sizes = self.model.segment([u if u[:1] == "\n" else " " + u for u in units], _mixed(hashes + variant), self.dropout)
-        n, total = len(units), len(ids)
-        while self.used + total > len(self.arena):
-            self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
-        while self.filled + n > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.arena[self.used : self.used + total] = ids
-        self.starts[self.filled : self.filled + n] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.filled : self.filled + n] = sizes
-        self.place[slots] = np.arange(self.filled, self.filled + n)
-        self.filled, self.used = self.filled + n, self.used + total
+        if self.dropout:
+            salt = _mixed(np.array([(d or 0) & (2**64 - 1) for d in doc_ids], np.uint64) ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & 2**64 - 1))
+            turn = np.arange(len(flat)) - np.repeat(ends - counts, counts)
+            keys = _mixed(np.repeat(salt, counts) + turn.astype(np.uint64))
+            # an occurrence takes its word's own pieces unless one of the merges that lead to them is skipped
+            merges, n_merges = self.merges.rows(code)
+            skipped = _mixed(np.repeat(keys, n_merges) ^ merges) < least_hash(self.dropout)
+            before = np.r_[0, np.cumsum(skipped)]
+            stops = np.cumsum(n_merges)
+            other = np.flatnonzero(before[stops] > before[stops - n_merges])
+            ids, n_ids, _, _ = self.model.agenda(*map(np.ndarray.astype, self.symbols.rows(code[other]), (np.int64, np.int64)), keys[other], self.dropout)
+            self.ids.room(0, len(ids))  # they lie behind the known ones until the next call
+            data = self.ids.data
+            data[self.ids.used : self.ids.used + len(ids)] = ids
+            starts[other], sizes[other] = self.ids.used + np.cumsum(n_ids) - n_ids, n_ids
+        return gathered(data, starts, sizes), np.r_[0, np.cumsum(sizes)][np.r_[0, ends]]
 
 
 @lru_cache(maxsize=2)

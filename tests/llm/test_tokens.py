@@ -81,6 +81,27 @@ def test_dropout_is_the_agenda_and_varies():
     assert len(seen) > 1
 
 
+def test_every_occurrence_has_draws_of_its_own():
+    """A word over many documents takes hundreds of segmentations, each that of its own agenda."""
+    own = pieces.Encoder(pieces.default_path(), 0.3, 7)
+    rows = ["a internationalisation\nunderstanding  of \n"] * 600
+    seen = set()
+    for a in (0, 300):
+        ids, bounds = own.encode(rows[a : a + 300], list(range(a, a + 300)))
+        for i in range(300):
+            words = [u if u[:1] == "\n" else " " + u for u in own.units(rows[i])]
+            salt = pieces._mixed(np.array([a + i], np.uint64) ^ np.uint64(7 * 0x9E3779B97F4A7C15 & 2**64 - 1))
+            keys = pieces._mixed(salt + np.arange(len(words), dtype=np.uint64))
+            parts = [slow_pieces(own.model, w, keys[n : n + 1], 0.3) for n, w in enumerate(words)] if i < 40 else None
+            found = ids[bounds[i] : bounds[i + 1]].tolist()
+            if parts:
+                space = [own.model.byte_ids[10] if p == pieces.OUTSIDE + 10 else p for w in parts for p in w]
+                assert found == space
+            seen.add(tuple(found))
+    assert len(seen) > 500
+    assert len({tuple(own.encode(["government"], [i])[0].tolist()) for i in range(1500)}) > 40
+
+
 def test_pieces_decode_without_loss(odd, odd_rows, none):
     rows = pieces.round_trip(odd, dropout=0.3, seed=9).collect()
     assert len(rows) == len(odd_rows) and all(r["lossless"] for r in rows)
