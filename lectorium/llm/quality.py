@@ -1,19 +1,25 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
-The model is trained on trusted documents (labels: quality 1, toxic 0): all of them, or where there are more than TRUSTED a
-sample of about so many, drawn by a hash of their ids. An n-gram is ORDER symbols of BITS bits in one
-long, so that contexts and suffixes are shifts and masks; characters beyond the alphabet share symbols by remainder. Counts,
-continuation counts, context totals and discounts are groupings over the n-grams, sharded by their keys like all that
-follows. The distinct n-grams of all documents are joined order by order to those counts, which gives each one its
-probability. Texts are packed into compressed slices of about SLICE bytes; a slice's n-grams join their probabilities and
-meet the slice again for each document's perplexity. The slices are shuffled once: both uses read the same exchange.
-
-A document is kept if its log-perplexity lies between two quantiles of the trusted documents of its language. Quantiles are
-read off counts on a grid of GRID; for languages without trusted documents those of all languages hold.
+The model is trained on trusted documents (labels: quality 1, toxic 0) without a fifth of them, one in HELD_OUT by a hash of
+their ids, which is kept for the bounds. An n-gram is ORDER symbols of BITS bits in one long, so that contexts and suffixes
+are shifts and masks; characters beyond the alphabet share symbols by remainder. Counts, continuation counts, context totals
+and discounts are groupings over the n-grams, sharded by their keys, and n-grams in question are joined order by order to
+those counts, which gives each its probability.
+
+Most n-grams of a text are among the most frequent ones: the probabilities of HOT at most travel with the tasks. One pass
+over the texts sums those up for each document and writes the n-grams that are left over, with their counts, which are then
+joined to the probabilities of their distinct ones and summed by document. Texts are read twice, once for the counts of the
+trusted ones, and never shuffled; both steps start from tables in the shared folder.
+
+A document is kept if its log-perplexity lies between two quantiles of the held-out trusted documents of its language: of
+documents as good, that the model hasn't seen either, a share of LOW falls below and 1 - HIGH above. Quantiles are read off
+counts on a grid of GRID; for languages without held-out documents those of all languages hold, and without any the trained
+ones stand in.
 
 Defined cases. A null or empty text has no perplexity and is not kept. Null languages are one language. Repeated rows are
 judged one by one; a null doc_id stays null and is never trusted. Without trusted documents nothing is known to be bad and
-all documents with a text are kept. Other columns are ignored by judged(), and kept unchanged by kept().
+all documents with a text are kept. Ties at a bound are kept. Other columns are ignored by judged(), and kept unchanged by
+kept().
 """
 
 from __future__ import annotations
@@ -23,25 +29,25 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.ipc  # noqa: F401  pa.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import of, partitions, stored, text_slices, texts
+from .common import of, stored, text_slices, texts
 
 ORDER = 4
 BITS = 15
-LOW, HIGH = 0.0005, 0.9995
+LOW, HIGH = 0.0025, 0.9975
+HELD_OUT = 5
 GRID = 1000
-SLICE = 16_000_000
-PART = 1 << 20
-TRUSTED = 200_000
-PACKED = pa.schema([("slice", pa.int64()), ("blob", pa.binary())])
-DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("text", pa.string())])
+PART = 1 << 19
+HOT = 1 << 20
+BROADCAST_IDS = 4_000_000
 COUNTS = pa.schema([("k", pa.int64()), ("c", pa.int64())])
-SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("n_grams", pa.int64()), ("log_ppl", pa.float64())])
-SCORED_DDL = "doc_id long, lang string, hash long, n_grams long, log_ppl double"
+SUMMED = pa.schema(
+    [("rid", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("n_grams", pa.int64()), ("logp", pa.float64()), ("rest", pa.list_(pa.struct([("k", pa.int64()), ("c", pa.int64())])))]
+)
+SUMMED_DDL = "rid long, doc_id long, lang string, hash long, n_grams long, logp double, rest array<struct<k: long, c: long>>"
 
 
 def grams(rows: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +68,6 @@ def grams(rows: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return key, bounds
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.unique(keys, return_counts=True)
-    return values, counts
-
-
 def trusted_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """k, c over all trusted texts; summed in each task before the shuffle."""
 
@@ -74,7 +75,7 @@ def trusted_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
         held_keys, held_counts, size = [], [], 0
         for batch in batches:
             for piece in text_slices(batch, most=PART):
-                values, counts = _counted(grams(texts(piece), order)[0])
+                values, counts = np.unique(grams(texts(piece), order)[0], return_counts=True)
                 held_keys.append(values)
                 held_counts.append(counts)
                 size += len(values)
@@ -102,33 +103,53 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def probabilities(queries: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """k, logp (natural logarithm) and the other columns of each distinct n-gram in queries (k), from the counts (k, c) of the trusted text."""
-    levels = {order: counts}
-    for n in range(order - 1, 0, -1):  # continuation counts: how many different n-grams end so
-        mask = (1 << (BITS * n)) - 1
-        levels[n] = stored(levels[n + 1].select(F.col("k").bitwiseAND(F.lit(mask).cast("long")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")), f"grams{n}")
-    total = levels[1].agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("n")).collect()[0]
-    uniform = 1.0 / (1 << BITS)
-    found, also = queries, [c for c in queries.columns if c != "k"]
-    p = F.lit(uniform)
-    for n in range(1, order + 1):
-        mask = (1 << (BITS * n)) - 1
-        d = _discounts(levels[n])
-        discount = F.when(F.col("c") >= 3, d[2]).when(F.col("c") == 2, d[1]).when(F.col("c") == 1, d[0]).otherwise(0.0)
-        found = found.withColumn("p", p).withColumn("own", F.col("k").bitwiseAND(F.lit(mask).cast("long"))).join(levels[n].select(F.col("k").alias("own"), "c"), "own", "left")
-        many = [F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.count(F.when(F.col("c") >= 3, 1))]
-        spare = sum((m * F.lit(x) for m, x in zip(many, d, strict=True)), F.lit(0.0))
-        if n == 1:
-            one = levels[1].agg(spare.alias("g")).collect()[0]["g"]
-            found = found.withColumn("t", F.lit(float(total["t"] or 0))).withColumn("g", F.lit(float(one or 0.0)))
-        else:
-            contexts = levels[n].groupBy(F.shiftright("k", BITS).alias("ctx")).agg(F.sum("c").alias("t"), spare.alias("g"))
-            found = found.withColumn("ctx", F.shiftright("own", BITS)).join(contexts, "ctx", "left")
-        p = F.when(F.col("t") > 0, F.greatest(F.coalesce("c", F.lit(0)) - F.coalesce(discount, F.lit(0.0)), F.lit(0.0)) / F.col("t") + F.col("g") / F.col("t") * F.col("p")).otherwise(F.col("p"))
-        found = found.select("k", *also, p.alias("p"))
-        p = F.col("p")
-    return found.select("k", *also, F.log("p").alias("logp"))
+class KneserNey:
+    """The counts of each order as tables, and what they come to."""
+
+    def __init__(self, trusted: DataFrame, order: int = ORDER):
+        self.order = order
+        self.levels = {order: stored(trusted_counts(trusted, order), f"grams{order}")}
+        for n in range(order - 1, 0, -1):  # continuation counts: how many different n-grams end so
+            tail = F.col("k").bitwiseAND(F.lit((1 << (BITS * n)) - 1).cast("long"))
+            self.levels[n] = stored(self.levels[n + 1].select(tail.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")), f"grams{n}")
+        self.discounts = {n: _discounts(level) for n, level in self.levels.items()}
+        self.total, self.spare = self.levels[1].agg(F.coalesce(F.sum("c"), F.lit(0)).cast("double"), F.coalesce(self._spare(1), F.lit(0.0))).collect()[0]
+
+    def _spare(self, n: int):
+        """The mass that discounting takes from a context's n-grams."""
+        d = self.discounts[n]
+        return F.sum(F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]))
+
+    def probabilities(self, asked: DataFrame) -> DataFrame:
+        """k and logp (natural logarithm) of each n-gram in asked (k, distinct)."""
+        found, p = asked.select("k"), F.lit(1.0 / (1 << BITS))
+        for n in range(1, self.order + 1):
+            d, own = self.discounts[n], F.col("k").bitwiseAND(F.lit((1 << (BITS * n)) - 1).cast("long"))
+            counted = self.levels[n].select(F.col("k").alias("own"), "c")
+            # one symbol: 2 ** BITS rows at most
+            found = found.withColumn("p", p).withColumn("own", own).join(F.broadcast(counted) if n == 1 else counted, "own", "left")
+            if n == 1:
+                found = found.withColumn("t", F.lit(float(self.total))).withColumn("g", F.lit(float(self.spare)))
+            else:
+                contexts = self.levels[n].groupBy(F.shiftright("k", BITS).alias("ctx")).agg(F.sum("c").alias("t"), self._spare(n).alias("g"))
+                found = found.withColumn("ctx", F.shiftright("own", BITS)).join(contexts, "ctx", "left")
+            discount = F.when(F.col("c") >= 3, d[2]).when(F.col("c") == 2, d[1]).otherwise(d[0])
+            kept = F.coalesce(F.greatest(F.col("c") - discount, F.lit(0.0)), F.lit(0.0))
+            found = found.select("k", F.when(F.col("t") > 0, kept / F.col("t") + F.col("g") / F.col("t") * F.col("p")).otherwise(F.col("p")).alias("p"))
+            p = F.col("p")
+        return found.select("k", F.log("p").alias("logp"))
+
+    def frequent(self, most: int) -> DataFrame:
+        """k of the n-grams with the greatest counts, at most so many: all from some power of the square root of 2 on."""
+        level = F.floor(2 * F.log2("c"))
+        n = {r["level"]: r["n"] for r in self.levels[self.order].groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        least, seen = math.inf, 0
+        for at in sorted(n, reverse=True):
+            seen += n[at]
+            if seen > most:
+                break
+            least = at
+        return self.levels[self.order].where(level >= least if n and least < math.inf else F.lit(False)).select("k")
 
 
 class Lookup:
@@ -149,97 +170,72 @@ class Lookup:
         return at
 
 
-def distinct(keys: np.ndarray, bits: int = 20) -> np.ndarray:
-    """The different values of keys, most of them by a hash table."""
-    found = []
-    while len(keys):
-        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
-        table = np.full(1 << bits, -1, np.int64)
-        table[slot] = keys
-        found.append(table[table >= 0])
-        keys = keys[table[slot] != keys]
-        if len(keys) < 1 << bits:
-            found.append(np.unique(keys))
-            break
-    return np.concatenate(found) if found else keys
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """slice, blob: doc_id, lang, hash and text of neighbouring rows, compressed."""
+def summed(docs: DataFrame, keys: np.ndarray, logs: np.ndarray, order: int = ORDER) -> DataFrame:
+    """Per row a number of its own (rid), the sum of its n-grams' logarithms as far as they are known (keys, logs), and the rest."""
+    sent = docs.sparkSession.sparkContext.broadcast((keys, logs.astype(np.float32)))
 
     def run(batches):
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def flush():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, DOCUMENTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(pa.Table.from_batches(held).combine_chunks())
-            return of(PACKED, slice=[number], blob=[sink.getvalue().to_pybytes()])
-
+        known, logp = sent.value
+        known = np.r_[known, -1]  # never empty; no n-gram is below zero
+        logp, look = np.r_[logp, 0].astype(np.float64), Lookup(known[:-1]) if len(known) > 1 else None
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for piece in text_slices(batch):
-                held.append(pa.RecordBatch.from_arrays([piece.column(f.name).cast(f.type) for f in DOCUMENTS], schema=DOCUMENTS))
-                size += piece.nbytes
-                if size > SLICE:
-                    yield flush()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield flush()
+            for piece in text_slices(batch, most=PART):
+                key, bounds = grams(texts(piece), order)
+                at = look(key) if look is not None else np.full(len(key), len(known) - 1)
+                left = np.flatnonzero(known[at] != key)
+                found = logp[at]
+                found[left] = 0.0
+                sums = np.r_[0.0, np.cumsum(found)]
+                row = np.searchsorted(bounds, left, side="right") - 1
+                by = np.lexsort((key[left], row))
+                row, rest = row[by], key[left][by]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (rest[1:] != rest[:-1])]) if len(row) else np.zeros(0, np.int64)
+                many = np.diff(np.r_[first, len(row)])
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(row[first], np.arange(piece.num_rows + 1)), pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(rest[first], pa.int64()), pa.array(many, pa.int64())], ["k", "c"]),
+                )
+                yield of(
+                    SUMMED,
+                    rid=number + np.arange(piece.num_rows),
+                    doc_id=piece.column("doc_id"),
+                    lang=piece.column("lang"),
+                    hash=piece.column("hash"),
+                    n_grams=np.diff(bounds),
+                    logp=sums[bounds[1:]] - sums[bounds[:-1]],
+                    rest=lists,
+                )
+                number += piece.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("hash", F.xxhash64("text")).mapInArrow(run, "slice long, blob binary")
-
-
-def opened(table: pa.Table):
-    """The rows of packed slices, a part at a time."""
-    for blob in table.column("blob"):
-        with pa.ipc.open_stream(blob.as_buffer()) as stream:
-            for batch in stream:
-                yield from text_slices(batch, most=PART)
+    return rows.withColumn("hash", F.xxhash64("text")).mapInArrow(run, SUMMED_DDL)
 
 
-def scored(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
     """doc_id, lang, hash (of the text), n_grams and log_ppl of every row."""
-    counts = stored(trusted_counts(trusted, order), "counts")
-    dealt = packed(docs).repartition(partitions(docs), "slice")
-
-    def ask(table: pa.Table) -> pa.Table:
-        parts = [distinct(grams(texts(piece), order)[0]) for piece in opened(table)]
-        keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-        return pa.table({"slice": pa.array(np.full(len(keys), table.column("slice")[0].as_py(), np.int64)), "k": pa.array(keys)})
-
-    asked = dealt.groupBy("slice").applyInArrow(ask, "slice long, k long").repartition(partitions(docs), "k")
-    # some slice of each n-gram is asked for too: with all its columns needed, the exchange by n-gram is the same for both uses
-    once = asked.groupBy("k").agg(F.min("slice").alias("some"))
-    answers = asked.join(probabilities(once, counts, order).where("some IS NOT NULL"), "k").select("slice", "k", F.col("logp").cast("float").alias("logp"))
-
-    def tell(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        out = []
-        keys = answer.column("k").to_numpy()
-        by = np.argsort(keys)
-        look, logs = Lookup(keys[by]), answer.column("logp").to_numpy()[by].astype(np.float64)
-        for piece in opened(rows):
-            key, bounds = grams(texts(piece), order)
-            at = look(key) if len(key) else np.zeros(0, np.int64)
-            if (look.keys[at] != key).any():
-                raise RuntimeError("a slice changed between its two uses")
-            sums = np.r_[0.0, np.cumsum(logs[at])]
-            n = np.diff(bounds)
-            ppl = pa.array(-(sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1), mask=n == 0)
-            out.append(of(SCORED, doc_id=piece.column("doc_id"), lang=piece.column("lang"), hash=piece.column("hash"), n_grams=n, log_ppl=ppl))
-        return pa.Table.from_batches(out, SCORED)
-
-    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(tell, SCORED_DDL)
+    model = KneserNey(trusted, order)
+    common = model.probabilities(model.frequent(hot)).toArrow().sort_by("k")
+    rows = stored(summed(docs, common.column("k").to_numpy(), common.column("logp").to_numpy(), order), "summed")
+    rest = rows.select("rid", F.explode("rest").alias("e")).select("rid", "e.k", "e.c")
+    answers = model.probabilities(rest.select("k").distinct())
+    more = rest.join(answers, "k").groupBy("rid").agg(F.sum(F.col("c") * F.col("logp")).alias("more"))
+    every = rows.drop("rest").join(more, "rid", "left")
+    total = F.col("logp") + F.coalesce("more", F.lit(0.0))
+    return every.select("doc_id", "lang", "hash", "n_grams", F.when(F.col("n_grams") > 0, F.round(-total / F.col("n_grams"), 9)).alias("log_ppl"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, order: int = ORDER) -> DataFrame:
     """doc_id, lang, hash, n_grams, log_ppl, the language's bounds least and most, kept."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    many = good.count()
-    some = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, many))) < TRUSTED)  # about TRUSTED rows of 8 bytes at most, so they can be broadcast
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id", "left_semi")
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    train = good.where(~held_out)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    trusted = own.join(F.broadcast(train) if train.count() <= BROADCAST_IDS else train, "doc_id", "left_semi")
     rows = stored(scored(docs, trusted, order), "scored")
-    bins = rows.join(good, "doc_id", "left_semi").where("log_ppl IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("l"), F.floor(F.col("log_ppl") * GRID).alias("bin")).groupBy("l", "bin").agg(F.count(F.lit(1)).alias("n"))
+    known = stored(rows.where("log_ppl IS NOT NULL").join(good.withColumn("held_out", held_out), "doc_id").select(F.coalesce("lang", F.lit("")).alias("l"), F.floor(F.col("log_ppl") * GRID).alias("bin"), "held_out").groupBy("l", "bin", "held_out").agg(F.count(F.lit(1)).alias("n")), "bins")
+    some = known.where("held_out")
+    bins = (known if some.isEmpty() else some).select("l", "bin", "n")
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit("*").alias("l"), "bin", "n"))
     up = Window.partitionBy("l").orderBy("bin")
     share = bins.select("l", "bin", (F.sum("n").over(up) / F.sum("n").over(Window.partitionBy("l"))).alias("share"))

@@ -253,6 +253,60 @@ def test_perplexity(spark):
             assert r["log_ppl"] is None
 
 
+def brute_discounts(counter):
+    n1, n2, n3, n4 = (sum(c == i for c in counter.values()) for i in (1, 2, 3, 4))
+    if not (n1 and n2 and n3 and n4):
+        return [0.5, 0.75, 0.9]
+    y = n1 / (n1 + 2 * n2)
+    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return [min(max(d, 0.05), i - 0.05) for i, d in enumerate(found, 1)]
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 20])
+def test_whole_classifier(spark, hot, monkeypatch):
+    """Discounts, perplexities, bounds of held-out documents and verdicts, with n-grams known to the tasks and joined."""
+    monkeypatch.setattr(quality.scored, "__defaults__", (quality.ORDER, hot))
+    r = random.Random(11)
+    vocabulary = {"en": ["the", "cat", "sat", "on", "mats"], "fr": ["le", "chat", "est", "là"]}
+    rows = [(i, lang, " ".join(r.choice(vocabulary[lang]) for _ in range(r.randint(3, 12)))) for i, lang in enumerate(r.choice(["en", "fr"]) for _ in range(120))]
+    rows += [(200 + i, "en", "".join(r.choice("xyzqkw ") for _ in range(30))) for i in range(10)] + [(300, None, "the cat"), (301, "fr", ""), (302, "de", None), (7, rows[7][1], rows[7][2])]
+    labels = [(i, 1, 0) for i in range(100)] + [(200, 0, 0), (201, 1, 1)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = {x["doc_id"] for x in marks.where("quality = 1 AND toxic = 0 AND pmod(xxhash64(doc_id), 5) = 0").collect()}
+    assert 5 < len(held) < 50
+    trusted = [t for i, _, t in rows if i < 100 and i not in held]
+    levels = {4: collections.Counter(k for t in trusted for k in grams_of(t, 4))}
+    for n in (3, 2, 1):
+        levels[n] = collections.Counter(k[1:] for k in levels[n + 1])
+    p = kneser_ney(trusted, 4, {n: brute_discounts(c) for n, c in levels.items()})
+    known = {}
+
+    def score(t):
+        return -sum(math.log(known.setdefault(k, None) or known.__setitem__(k, p(k)) or known[k]) for k in grams_of(t, 4)) / len(t)
+
+    expected = [(i, lang, score(t) if t else None) for i, lang, t in rows]
+    bounds = {}
+    for lang in ("en", "fr", None):
+        bins = sorted(math.floor(s * 1000 + 1e-9) for i, own, s in expected if i in held and s is not None and lang in (own, None))
+        share = lambda q: next(b for n, b in enumerate(bins, 1) if n / len(bins) >= q)  # noqa: B023, E731
+        bounds[lang] = share(quality.LOW) / 1000, (share(quality.HIGH) + 1) / 1000
+    found = collections.defaultdict(list)
+    for x in quality.judged(docs, marks).collect():
+        found[x["doc_id"]].append(x)
+    for i, lang, s in expected:
+        least, most = bounds[lang if lang in ("en", "fr") else None]
+        x = found[i][0]
+        assert (x["least"], x["most"]) == pytest.approx((least, most), abs=0.0011)
+        if s is None:
+            assert x["log_ppl"] is None and not x["kept"]
+            continue
+        assert x["log_ppl"] == pytest.approx(s, rel=1e-5)
+        if min(abs(s - least), abs(s - most)) > 0.002:
+            assert x["kept"] == (least <= s <= most)
+    assert len(found[7]) == 2 and found[7][0] == found[7][1]
+    assert not any(found[i][0]["kept"] for i in range(200, 210)) and sum(found[i][0]["kept"] for i in range(100)) > 60
+
+
 def test_classifier(spark, docs, odd, odd_rows, none, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     rows = {r["doc_id"]: r["kept"] for r in quality.judged(docs, labels).collect()}
@@ -266,9 +320,7 @@ def test_classifier(spark, docs, odd, odd_rows, none, data):
     assert quality.kept(none, some).count() == 0
 
 
-def test_distinct_and_lookup():
+def test_lookup():
     keys = np.random.default_rng(0).integers(0, 1 << 60, 5000)
-    keys = np.r_[keys, keys[:3000]]
-    assert sorted(quality.distinct(keys, bits=8).tolist()) == np.unique(keys).tolist()
     known = np.unique(keys)
     assert (known[quality.Lookup(known)(keys)] == keys).all()
