@@ -1,14 +1,14 @@
 """Secret scans: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
-Base spans are the leftmost non-overlapping matches of three patterns. Besides them every run of 20 or more key characters
-is tested. Its encoding (hex, base 26, 32, 36, 62 or 64) is inferred from the characters in it, and three tests ask whether
+Base spans are the leftmost non-overlapping matches of three patterns. Besides them every run of LEAST or more key characters
+is tested, and of a run that base spans overlap each rest of that length. Its encoding (hex, base 26, 32, 36, 62 or 64) is inferred from the characters in it, and three tests ask whether
 it looks drawn at random from that alphabet: chi-squared uniformity, runs about the alphabet's middle, and the serial
 correlation of neighbours. A run must pass all three at level REJECT. Its p-value is then the chance that an ordinary
 run of that length looks as random: as even by the chi-squared statistic, whose moments under the letter frequencies of
 all documents are exact, and with as many turns between lower case, upper case, digits and symbols as ORDINARY_TURNS a
 neighbour allows (a capital before a small letter is no turn). Fisher's method joins the two. Weighted Benjamini-Hochberg at level FDR over all runs of the
-corpus, with weights in proportion to length, gives the threshold; it is read off a histogram of fixed size. Spans that
-overlap a base span are not added.
+corpus, with weights in proportion to length, gives the threshold; it is read off a histogram of fixed size. One pass finds
+base spans and runs and stores them, for redaction with the rows they belong to; a second one applies the threshold.
 
 Defined cases. Null and empty texts have no spans. Repeated rows are scanned one by one; a null doc_id stays null. Digits
 alone are numbers, never keys. Other columns are ignored by scan(), and kept unchanged by redacted().
@@ -24,14 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, of, stored, text_slices, texts
+from .common import SLICE_BYTES, documents, of, stored, text_slices, texts
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}")
 FDR = 0.01
 REJECT = 0.001
 ORDINARY_TURNS = 0.15
@@ -125,16 +127,26 @@ def class_turns(run: str) -> int:
     return sum(a != b and (a, b) != ("U", "l") for a, b in zip(kinds, kinds[1:], strict=False))
 
 
-def random_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float, int]]:
-    """(start, end, k, chi-squared, infinite where a test rejects, turns) of the tested runs that overlap no base span."""
+def free_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of key characters, less what base spans cover, LEAST characters or longer."""
     found = []
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        k, chi, *passed = battery(m[0])
+        at, end = m.span()
+        for s, _, e in base:  # in order of their starts
+            if e > at and s < end:
+                found.append((at, s))
+                at = max(at, e)
+        found.append((at, end))
+    return [(a, b) for a, b in found if b - a >= LEAST]
+
+
+def random_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float, int]]:
+    """(start, end, k, chi-squared, infinite where a test rejects, turns) of the tested runs."""
+    found = []
+    for start, end in free_runs(text, base):
+        k, chi, *passed = battery(text[start:end])
         if k:
-            found.append((start, end, k, chi if min(passed) > REJECT else math.inf, class_turns(m[0])))
+            found.append((start, end, k, chi if min(passed) > REJECT else math.inf, class_turns(text[start:end])))
     return found
 
 
@@ -178,28 +190,33 @@ def weighted(length: int, mean_length: float, value: float) -> float:
     return value + math.log10(length / mean_length) if value else 0.0
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """Per row: base spans and tested runs; a further row for each slice of a batch has the slice's letter counts alone."""
+def scanned(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Per row: base spans and tested runs, and with whole the row itself; a further row for each slice of a batch has the slice's letter counts alone."""
+    rows = documents(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")) if whole else documents(docs)
 
     def run(batches):
         for batch in batches:
             for piece in text_slices(batch):
-                rows = texts(piece)
-                base = [base_spans(t) for t in rows]
-                runs = [random_runs(t, b) for t, b in zip(rows, base, strict=True)]
+                own = texts(piece)
+                base = [base_spans(t) for t in own]
+                runs = [random_runs(t, b) for t, b in zip(own, base, strict=True)]
                 count = np.zeros(26, np.int64)
-                for t in rows:
+                for t in own:
                     count += np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass").lower(), np.uint8), minlength=128)[97:123]
-                yield of(
+                out = of(
                     SCANNED,
                     doc_id=[*piece.column("doc_id").to_pylist(), None],
                     **{f"n_{kind}": [*(sum(k == i for _, k, _ in b) for b in base), 0] for i, kind in enumerate(KINDS[:3])},
                     base=[[dict(zip(("start", "kind", "end"), s, strict=True)) for s in b] for b in [*base, []]],
                     runs=[[dict(zip(("start", "end", "k", "chi", "turns"), s, strict=True)) for s in r] for r in [*runs, []]],
-                    letters=[*([None] * len(rows)), count.tolist()],
+                    letters=[*([None] * len(own)), count.tolist()],
                 )
+                if whole:
+                    row = piece.column("row")
+                    out = out.append_column("row", pa.concat_arrays([row, pa.nulls(1, row.type)]))
+                yield out
 
-    return documents(docs).mapInArrow(run, SCANNED_DDL)
+    return rows.mapInArrow(run, T.StructType([*T.StructType.fromDDL(SCANNED_DDL).fields, *([T.StructField("row", rows.schema["row"].dataType)] if whole else [])]))
 
 
 def fitted(rows: DataFrame, level: float = FDR) -> tuple[np.ndarray, float, float]:
@@ -263,19 +280,30 @@ def redact(text: str, spans: list[tuple[int, int, int]], placeholder: str = PLAC
 
 def redacted(docs: DataFrame, level: float = FDR, placeholder: str = PLACEHOLDER) -> DataFrame:
     """docs with every found span replaced and n_chars recounted; a null text stays null."""
-    letters, mean, least = fitted(stored(scanned(docs), "scanned"), level)
-    names = docs.columns
+    rows, names = stored(scanned(docs, whole=True), "scanned"), docs.columns
+    letters, mean, least = fitted(rows, level)
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch):
-                out = []
-                for t in piece.column("text").to_pylist():
-                    base = base_spans(t) if t else []
-                    out.append(t and redact(t, base + _added(random_runs(t, base), letters, mean, least), placeholder))
-                columns = {n: piece.column(n) for n in names}
-                columns["text"] = pa.array(out, piece.schema.field("text").type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), schema=piece.schema)
-
-    done = docs.mapInArrow(run, docs.schema)
+            row = batch.column("row")
+            columns = dict(zip(names, row.flatten(), strict=True))
+            texts_, out = columns["text"], []
+            for t, base, runs in zip(texts_.to_pylist(), batch.column("base").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                spans = [(s["start"], s["kind"], s["end"]) for s in base] + _added([(r["start"], r["end"], r["k"], r["chi"], r["turns"]) for r in runs], letters, mean, least)
+                out.append(redact(t, spans, placeholder) if spans else t)
+            columns["text"] = pa.array(out, texts_.type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    done = rows.where("letters IS NULL").select("base", "runs", "row").mapInArrow(_in_slices(run), docs.schema)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else done
+
+
+def _in_slices(run):
+    """run over batches of a bounded size, where the texts are within rows."""
+
+    def sliced(batches):
+        for batch in batches:
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            yield from run(batch.slice(a, step) for a in range(0, batch.num_rows, step))
+
+    return sliced

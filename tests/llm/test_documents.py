@@ -76,7 +76,7 @@ def test_secrets_corners(text):
 
 def test_random_runs_are_found_and_words_are_not(spark):
     r = random.Random(5)
-    planted = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (24, 32, 40, 64)] + ["".join(r.choice(string.ascii_lowercase + string.digits) for _ in range(40))]
+    planted = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (18, 24, 32, 40, 64)] + ["".join(r.choice(string.ascii_lowercase + string.digits) for _ in range(40))]
     plain = ["internationalisationalised", "abcdefghijklmnopqrstuvwxyz0123456789", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "getUserNameFromDatabaseById", "some_long_name_of_a_python_function_here", "12345678901234567890123456789"]
     words = "it was the best of times and it was the worst of times in the age of reason "
     rows = [(i, f"{words * 3}{x} {words}") for i, x in enumerate(planted + plain)]
@@ -87,6 +87,72 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert all(x["n_chars"] == len(x["text"]) for x in text)
 
 
+def brute_battery(run):
+    """The three tests by their definitions."""
+    alphabets = {16: "0123456789abcdef", 26: string.ascii_lowercase, 32: string.ascii_uppercase + "234567", 36: string.digits + string.ascii_lowercase, 62: string.digits + string.ascii_uppercase + string.ascii_lowercase}
+    alphabets[64] = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+    k = secrets.encoding(run)
+    text = run.replace("-", "+").replace("_", "/") if k == 64 else run.lower() if k in (16, 26, 36) else run
+    x = [alphabets[k].index(c) for c in text]
+    n, expected = len(x), len(x) / k
+    chi = sum((x.count(v) - expected) ** 2 / expected for v in range(k))
+    normal = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    uniform = normal((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))  # exact mean and variance under uniformity
+    high = [v >= k / 2 for v in x]
+    a, b = high.count(True), high.count(False)
+    if not a or not b:
+        return k, chi, uniform, 0.0, 0.0
+    runs = 1 + sum(p != q for p, q in zip(high, high[1:], strict=False))
+    mean, variance = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    m = sum(x) / n
+    r = sum((p - m) * (q - m) for p, q in zip(x, x[1:], strict=False)) / sum((p - m) ** 2 for p in x)
+    return k, chi, uniform, 2 * normal(abs(runs - mean) / math.sqrt(variance)) if variance > 0 else 0.0, 2 * normal(abs(r + 1 / n) * math.sqrt(n))
+
+
+def test_battery_is_the_three_tests():
+    r = random.Random(8)
+    kinds = ["0123456789abcdef", "ABCDEF0123456789", string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/_-"]
+    runs = ["".join(r.choice(k) for _ in range(n)) for k in kinds for n in (16, 19, 24, 64, 300) for _ in range(4)] + ["a" * 20, "ab" * 12, "internationalisation"]
+    for run in runs:
+        assert secrets.battery(run) == pytest.approx(brute_battery(run), rel=1e-6, abs=1e-9), run
+    assert secrets.battery("1" * 20)[0] == 0
+
+
+def test_moments_of_an_ordinary_run():
+    """The chi-squared statistic's mean and variance under letter frequencies, against draws; and the turns' tail against the sum."""
+    letters = np.array([8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1]) * 1e6
+    n, rng = 24, np.random.default_rng(3)
+    draws = rng.multinomial(n, letters / letters.sum(), 40_000)
+    chi = 26 / n * (draws**2).sum(1) - n
+    for at in (chi.mean() - 2 * chi.std(), chi.mean(), chi.mean() + chi.std()):
+        z = (at - chi.mean()) / chi.std()
+        even = 0.5 * math.erfc(-z / math.sqrt(2))
+        turning = sum(math.comb(n - 1, i) * secrets.ORDINARY_TURNS**i * (1 - secrets.ORDINARY_TURNS) ** (n - 1 - i) for i in range(5, n))
+        product = even * turning
+        assert secrets.log_p(n, 26, at, 5, letters) == pytest.approx(-math.log10(product * (1 - math.log(product))), rel=0.05)
+    assert secrets.log_p(n, 26, math.inf, 5, letters) == 0.0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_threshold_is_benjamini_hochberg(seed):
+    r = random.Random(seed)
+    values = [r.expovariate(0.9) for _ in range(r.randint(0, 400))] + [r.uniform(4, 9) for _ in range(r.randint(0, 30))]
+    bins = collections.Counter(int(v / secrets.PER_BIN) for v in values)
+    p = sorted(10 ** (-b * secrets.PER_BIN) for b in bins.elements())
+    accepted = [x for n, x in enumerate(p, 1) if len(p) * x <= secrets.FDR * n]
+    assert 10 ** -secrets.threshold(bins) == pytest.approx(max(accepted, default=0.0))
+
+
+def test_runs_around_base_spans():
+    r = random.Random(1)
+    tail = "".join(r.choice(string.ascii_letters) for _ in range(20))
+    text = f"{tail}-0123456789abcdef0-{tail[:15]} x {tail[:16]} y {tail[:15]}"
+    base = secrets.base_spans(text)
+    assert [text[a:b] for a, b in secrets.free_runs(text, base)] == [f"{tail}-", f"-{tail[:15]}", tail[:16]]
+    covered = {i for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text) for i in range(*m.span())} - {i for s, _, e in base for i in range(s, e)}
+    assert {i for a, b in secrets.free_runs(text, base) for i in range(a, b)} <= covered
+
+
 def test_redaction_joins_overlaps():
     assert secrets.redact("abcdefgh", [(1, 0, 3), (2, 2, 5), (6, 1, 7)], "*") == "a*f*h"
 
