@@ -44,5 +44,17 @@ def used_recently(current: Column, entry: Column, most: int = 10) -> Column:
     return F.slice(F.array_prepend(F.array_remove(current, entry), entry), 1, most)
 
 
-def first_of_each(current: Column) -> Column:
-    return F.array_distinct(current)
+def all_used_recently(current: Column, entries: Column, most: int = 10) -> Column:
+    """The list after each of the entries was used in turn."""
+    latest = F.array_distinct(F.reverse(entries))
+    return F.slice(F.concat(latest, F.filter(current, lambda x: ~F.array_contains(latest, x))), 1, most)
+
+
+def selection(rows: Column) -> Column:
+    """Selected rows in order, each once."""
+    return F.array_sort(F.array_distinct(rows))
+
+
+def given(options: Column, names: list[str] | None = None) -> Column:
+    """The entries of a map that have a value, and of those the ones with known names."""
+    return F.map_filter(options, lambda k, v: v.isNotNull() & (F.lit(True) if names is None else k.isin(*names)))

@@ -11,6 +11,7 @@ LINES = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 
 # Wording of labels.
+NEW_EXAM = "새 시험지"
 UNTITLED = "(제목 없음)"
 NO_STEM = "(발문 없음)"
 UNSPECIFIED = "(미지정)"
@@ -44,6 +45,15 @@ def clamp(level: Column) -> Column:
     return F.when(level.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), level))).cast("int")
 
 
+def type_name(kind: Column) -> Column:
+    return or_else(kind, UNSPECIFIED)
+
+
+def filled(*given: Column) -> Column:
+    """The first of the texts that isn't blank, stripped; else the empty one."""
+    return F.coalesce(*(F.nullif(strip(x), F.lit("")) for x in given), F.lit(""))
+
+
 def display_title(title: Column, text: Column) -> Column:
     own = strip(F.coalesce(title, F.lit("")))
     first = F.coalesce(F.get(F.split(strip(F.coalesce(text, F.lit(""))), LINES), 0), F.lit(""))
@@ -106,6 +116,7 @@ def html_escape(text: Column) -> Column:
 def preview(title: Column, level: Column, kind: Column, text: Column, questions: Column) -> Column:
     """A passage as HTML; title is the shown one."""
 
+    # The markup of a preview.
     def question(q: Column, i: Column) -> Column:
         number = question_number(q["number"], i)
         rated = F.when(F.coalesce(q["difficulty"], F.lit(0)) != 0, badge(q["difficulty"])).otherwise(F.lit(""))
@@ -124,13 +135,18 @@ def choices_of(text: Column) -> Column:
     return F.filter(F.transform(lines(text), strip), lambda c: c != "")
 
 
+def text_of(choices: Column) -> Column:
+    """Choices as lines."""
+    return F.array_join(choices, "\n")
+
+
 def one_decimal(total: Column, count: Column) -> Column:
     """total / count to one decimal, as a float's exact binary value rounds; '-' over nothing. total lies within 5 * count.
 
     A tie in twentieths goes where its nearest float lies, which a table tells; all else is integer arithmetic.
     """
     s, n = total.cast("long"), F.nullif(count.cast("long"), F.lit(0).cast("long"))
-    twentieths = F.expr("0") + (F.lit(20) * s)
+    twentieths = F.lit(20) * s
     tie = (F.pmod(twentieths, n) == 0) & (F.pmod((twentieths / n).cast("long"), F.lit(2)) == 1)
     ties = F.create_map(*(F.lit(x) for t in range(1, 101, 2) for x in (t, f"{t / 20:.1f}")))
     k = F.floor((twentieths + n) / (F.lit(2) * n)).cast("long")
@@ -151,32 +167,16 @@ def extract_json(text: Column) -> Column:
     return F.when(F.try_parse_json(fenced).isNotNull(), fenced).when(F.try_parse_json(inner).isNotNull(), inner)
 
 
-def error_class(code: Column, message: Column, name: Column) -> Column:
-    """What kind of failure an external call had."""
-    said, kind = F.lower(F.coalesce(message, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
-    network = kind.contains("timeout") | kind.contains("connect") | kind.contains("network")
-    return (
-        F.when((code == 400) & (said.contains("api key") | said.contains("api_key")), "bad_key").when(code.isin(401, 403), "forbidden").when(code == 404, "not_found")
-        .when(code == 429, "rate_limited").when(code >= 500, "server").when(network, "network").otherwise("other")
-    )
-
-
-def retryable(kind: Column) -> Column:
-    return kind.isin("rate_limited", "server", "network")
-
-
-def backoff_seconds(attempt: Column) -> Column:
-    return F.least(F.pow(F.lit(2.0), attempt) * 2, F.lit(30.0))
-
-
-def spacing_seconds(per_minute: Column) -> Column:
-    return F.lit(60.0) / per_minute
-
-
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def parent_of(path: Column) -> Column:
+    """What comes before the last slash: "." for a bare name, "/" at the root."""
+    cut = F.regexp_replace(path, "/+[^/]*$", "")
+    return F.when(~path.contains("/"), F.lit(".")).when(cut == "", F.lit("/")).otherwise(cut)
+
+
 def is_pdf(path: Column) -> Column:
     return F.lower(path).endswith(".pdf")
 

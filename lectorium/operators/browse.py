@@ -7,19 +7,22 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import is_pdf
 
 
 def has_type(types: Collection[str] | None, column: str = "passage_type") -> Column | None:
-    return None if types is None else F.coalesce(F.col(column), F.lit("")).isin(*types)
+    """A plain IN, which scans can use; null counts as the empty type."""
+    if types is None:
+        return None
+    found = F.col(column).isin(*sorted(types))
+    return found | F.col(column).isNull() if "" in types else found
 
 
 def has_difficulty(levels: Collection[int | None] | None, column: str = "difficulty") -> Column | None:
     """Null is a level of its own: unrated."""
     if levels is None:
         return None
-    rated = [x for x in levels if x is not None]
-    found = F.coalesce(F.col(column).isin(*rated), F.lit(False))
+    found = F.col(column).isin(*sorted(x for x in levels if x is not None))
     return found | F.col(column).isNull() if None in levels else found
 
 
@@ -44,12 +47,11 @@ def filter_passages(passages: DataFrame, questions: DataFrame | None = None, *,
 
 
 def first_by_id(rows: DataFrame, wanted=None) -> DataFrame:
-    """The first row of each id by ord, or of one id alone."""
+    """The first row of each id by ord, or of one id alone. Only ids and ords are grouped."""
     if wanted is not None:
         return rows.where(F.col("id") == wanted).orderBy("ord").limit(1)
-    names = [c for c in rows.columns if c != "id"]
-    best = rows.groupBy("id").agg(F.min_by(F.struct(*names), "ord").alias("row"))
-    return best.select("id", *(F.col("row")[c].alias(c) for c in names)).select(rows.columns)
+    first = rows.groupBy("id").agg(F.min("ord").alias("ord"))
+    return rows.join(first, ["id", "ord"], "left_semi").select(rows.columns)
 
 
 def facet(rows: DataFrame, column: str) -> DataFrame:
@@ -79,19 +81,11 @@ def listed_models(models: DataFrame, prefix: str) -> DataFrame:
     return models.where(able & name.startswith(prefix)).select(name.alias("name")).distinct()
 
 
-def known_options(options: Column) -> Column:
-    return F.map_filter(options, lambda k, v: v.isNotNull())
-
-
 def pdf_paths(paths: DataFrame) -> DataFrame:
     """First occurrence of each path that names a PDF file (path, ord)."""
-    return paths.where(F.lower("path").endswith(".pdf")).groupBy("path").agg(F.min("ord").alias("ord"))
+    return paths.where(is_pdf(F.col("path"))).groupBy("path").agg(F.min("ord").alias("ord"))
 
 
 def numbered(rows: DataFrame, by: str, order: str, name: str = "n") -> DataFrame:
     """Rows with their place from 1 within each group."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(order)))
-
-
-def normalised(text: Column) -> Column:
-    return F.lower(strip(text))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import add_entries, swapped, without_rows
-from ..functions.text import clamp, now_iso, strip
+from ..functions.arrays import add_entries, all_used_recently, swapped, without_rows
+from ..functions.text import clamp, new_id, now_iso, strip
+
+MOST_RECENT = 10
 
 
 def append(rows: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,9 +80,21 @@ def default_exam_title(exams: DataFrame) -> DataFrame:
     return exams.agg(F.concat(F.lit("시험지 "), (F.count(F.lit(1)) + 1).cast("string")).alias("title"))
 
 
+def new_exam(exams: DataFrame, wanted=None) -> DataFrame:
+    """exams and a new one behind them, with the default title and a drawn id unless one is wanted; as they are if they hold that id."""
+    there = exams.where(F.col("id") == wanted) if wanted is not None else exams.limit(0)
+    kind = dict(exams.dtypes)
+    values = {"id": F.lit(wanted) if wanted is not None else new_id(), "passage_ids": F.array(), "created_at": now_iso(), "ord": F.lit(0)}
+    one = default_exam_title(exams).select(*((values[c] if c in values else F.col("title") if c == "title" else F.lit(None)).cast(kind[c]).alias(c) for c in exams.columns))
+    return append(exams, one.join(there.select("id"), "id", "left_anti"))
+
+
 def add_to_exam(exams: DataFrame, wanted, ids: list, row: int = -1) -> DataFrame:
+    """The exam is made if there is none of that id; without ids nothing happens."""
+    if not ids:
+        return exams
     kind = exams.schema["passage_ids"].dataType
-    return _at(exams, wanted, {"passage_ids": add_entries(F.col("passage_ids"), F.array(*map(F.lit, ids)).cast(kind), F.lit(row))})
+    return _at(new_exam(exams, wanted), wanted, {"passage_ids": add_entries(F.col("passage_ids"), F.array(*map(F.lit, ids)).cast(kind), F.lit(row))})
 
 
 def remove_from_exam(exams: DataFrame, wanted, rows: list[int]) -> DataFrame:
@@ -94,3 +108,15 @@ def move_in_exam(exams: DataFrame, wanted, rows: list[int], step: int) -> DataFr
 def reorder_exam(exams: DataFrame, wanted, ids: list) -> DataFrame:
     kind = exams.schema["passage_ids"].dataType
     return _at(exams, wanted, {"passage_ids": F.array(*map(F.lit, ids)).cast(kind)})
+
+
+def append_results(passages: DataFrame, recent: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """passages with those of results (ord, source_file, passages: array of structs) behind them, in order; recent (one row, files) with the source files used.
+
+    The list of recent files is bounded, so only its last entries are ever needed of all results.
+    """
+    each = results.select(F.col("ord").alias("_of"), F.posexplode("passages").alias("_pos", "_p"))
+    new = each.select("_p.*", (F.col("_of") * (1 << 32) + F.col("_pos")).alias("ord"))  # ord has gaps, and the order of files and places
+    last = results.groupBy("source_file").agg(F.max("ord").alias("ord")).orderBy(F.desc("ord")).limit(MOST_RECENT)
+    files = last.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_file"))), lambda x: x["source_file"]).alias("_used"))
+    return append(passages, new), recent.join(F.broadcast(files), how="cross").select(all_used_recently(F.col("files"), F.col("_used"), MOST_RECENT).alias("files"))

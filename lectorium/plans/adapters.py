@@ -37,3 +37,33 @@ def exams_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("x"))
     ids = F.flatten(F.transform("x", lambda e: F.when(e["o_orderkey"] % 10 == 0, F.array(e["o_orderkey"], -e["o_orderkey"])).otherwise(F.array(e["o_orderkey"]))))
     return listed.select(F.col("o_custkey").alias("id"), ids.alias("passage_ids"))
+
+
+def exam_sets_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As exams_of_customers, with all columns of an exam set."""
+    rows = exams_of_customers(spark, sf_dir)
+    return rows.select(F.col("id").alias("ord"), "id", F.concat(F.lit("exam "), F.col("id").cast("string")).alias("title"), "passage_ids", F.lit("then").alias("created_at"))
+
+
+def library_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage for each conversation, its turns as questions."""
+    empty = F.lit("")
+    question = F.struct(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), empty.alias("number"), F.col("text").alias("stem"), F.array(F.col("role")).alias("choices"), empty.alias("answer"), empty.alias("explanation"),
+        F.col("role").alias("question_type"), (1 + F.col("turn") % 5).cast("int").alias("difficulty"), empty.alias("difficulty_source"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", question.alias("q")).alias("x"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return rows.select(F.col("conv_id").alias("ord"), F.col("conv_id").alias("id"), F.transform("x", lambda e: e["q"]).alias("questions"), F.lit("then").alias("updated_at"))
+
+
+def libraries_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and a library file's text with one passage and one exam, of loose types."""
+    level = F.get(F.array(*map(F.lit, ('"3"', '" 4 "', "9", "-2", "3.7", "true", "null", '"x"'))), (F.col("doc_id") % 8).cast("int"))
+    number = F.col("doc_id").cast("string")
+    passage = F.concat(
+        F.lit('{"id": '), number, F.lit(', "title": "'), F.col("lang"), F.lit('", "difficulty": '), level, F.lit(', "tags": [1, "b"], "source_pages": ['), (F.col("doc_id") % 5).cast("string"),
+        F.lit(', "7"], "questions": [{"number": 18, "choices": [2, "c"], "extra": {}}]}'),
+    )
+    exam = F.concat(F.lit('{"id": "e'), number, F.lit('", "passage_ids": ['), number, F.lit("]"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(', "title": null'), F.lit("}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('{"passages": ['), passage, F.lit('], "exam_sets": ['), exam, F.lit("]}")).alias("file"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text
+from ..functions import arrays, errors, text
 from ..operators import browse, exams
 from . import adapters
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 D = """d AS (SELECT doc_id AS ord, doc_id AS id, '' AS title, text, lang AS passage_type, (1 + quality + 2 * toxic)::INT AS difficulty, source AS source_file
   FROM documents LEFT JOIN labels USING (doc_id))"""
@@ -19,20 +20,6 @@ LEVEL = "CASE WHEN difficulty IS NULL THEN '미분류' ELSE 'Lv.' || difficulty
 COLOUR = "CASE difficulty WHEN 1 THEN '#43a047' WHEN 2 THEN '#7cb342' WHEN 3 THEN '#fbc02d' WHEN 4 THEN '#fb8c00' WHEN 5 THEN '#e53935' ELSE '#9e9e9e' END"
 KEPT = "id, passage_type, difficulty"
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str):
-    """Register a query under its name, with its SQL."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
 def _shown(rows):
     return rows.select("id", "passage_type", "difficulty")
 
@@ -282,8 +269,8 @@ SELECT event_id, CASE WHEN k = 0 THEN 'bad_key' WHEN code IN (401, 403) THEN 'fo
 def error_class(spark, sf_dir):
     k = (F.col("event_id") % 11).cast("int")
     code = F.get(F.array(*(F.lit(x).cast("int") for x in (400, 400, 401, 403, 404, 429, 500, 503, None, None, 418))), k)
-    kind = text.error_class(code, F.when(k == 0, "Invalid API Key").otherwise("no"), F.when(k == 8, "ReadTimeout").otherwise("ValueError"))
-    return adapters.table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), text.retryable(kind).alias("again"), text.backoff_seconds(k).alias("delay"), text.spacing_seconds(k + 1).alias("spacing"))
+    kind = errors.error_class(code, F.when(k == 0, "Invalid API Key").otherwise("no"), F.when(k == 8, "ReadTimeout").otherwise("ValueError"))
+    return adapters.table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), errors.retryable(kind).alias("again"), errors.backoff_seconds(k).alias("delay"), errors.spacing_seconds(k + 1).alias("spacing"))
 
 
 @query("WITH c AS (SELECT user_id, '/in/' || event_type || CASE WHEN event_id % 3 = 0 THEN '.txt' ELSE '.PDF' END AS path, event_id FROM events) SELECT path, min(event_id) AS ord, regexp_replace(path, '^.*/', '') AS name FROM c WHERE lower(path) LIKE '%.pdf' GROUP BY 1")
@@ -309,3 +296,6 @@ def passage_preview(spark, sf_dir):
     question = F.struct(F.lit("").alias("number"), F.col("source_file").alias("stem"), F.lit(3).alias("difficulty"), F.array(F.lit("a&b"), F.lit("c")).alias("choices"))
     page = text.preview(text.display_title(F.col("title"), F.col("text")), F.col("difficulty"), F.col("passage_type"), F.col("text"), F.array(question))
     return rows.select("id", F.md5(page).alias("html"))
+
+
+from . import edit_queries  # noqa: E402, F401  more of the catalogue

@@ -1,72 +1,84 @@
 """Calls to an outside text service, by a client that the caller gives: a paced, retried call for each row.
 
-A client is made once in each task; it has call(prompt) and raises errors with a code. Pace is kept in each task, so the
-rate of all is the number of partitions times it. A failure that isn't worth another try, and the last of several, becomes
-an error column; it doesn't end the job.
+A client is made once in each task: call(prompt, **options), which raises errors with a code. Pace is kept in each task, so
+the rate of all is the number of partitions times it. A failure that isn't worth another try, and the last of several,
+becomes an error column; it doesn't end the job. An answer that holds no JSON where JSON is asked for is such an error, and
+is never asked for again.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-ATTEMPTS = 3
-LONGEST = 30.0
-
+from ..functions.errors import AGAIN, BAD_JSON, OTHER, delay_before, kind_of
+from ..functions.text import extract_json, strip
 
-def kind_of(code: int | None, message: str, name: str) -> str:
-    """As functions.text.error_class, of one error."""
-    said, name = message.lower(), name.lower()
-    if code == 400 and ("api key" in said or "api_key" in said):
-        return "bad_key"
-    fixed = {401: "forbidden", 403: "forbidden", 404: "not_found", 429: "rate_limited"}
-    if code in fixed:
-        return fixed[code]
-    if code is not None and code >= 500:
-        return "server"
-    return "network" if any(w in name for w in ("timeout", "connect", "network")) else "other"
+ATTEMPTS = 3
+SHOWN = 40
+ANSWERS = pa.schema([("id", pa.string()), ("answer", pa.string()), ("error", pa.string()), ("ms", pa.int64())])
 
 
 class Paced:
-    """At least 60 / per_minute seconds between calls."""
+    """Turns for calls that begin at least 60 / per_minute seconds apart, among threads too; a rate of zero is no limit."""
 
     def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.every, self.clock, self.sleep, self.next = 60.0 / per_minute, clock, sleep, None
+        self.every, self.clock, self.sleep = (60.0 / per_minute if per_minute > 0 else 0.0), clock, sleep
+        self.free, self.lock = float("-inf"), threading.Lock()
 
     def wait(self) -> None:
-        now = self.clock()
-        if self.next is not None and now < self.next:
-            self.sleep(self.next - now)
-            now = self.next
-        self.next = now + self.every
-
-
-def called(call: Callable[[str], str], prompt: str, paced: Paced, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
-    """(answer, kind of failure) after at most so many further attempts."""
-    for attempt in range(attempts + 1):
+        with self.lock:
+            begin = max(self.clock(), self.free)
+            if (left := begin - self.clock()) > 0:
+                self.sleep(left)
+            self.free = begin + self.every
+
+
+def called(call: Callable[..., str], prompt: str, paced: Paced, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep, **options) -> tuple[str | None, str | None]:
+    """(answer, kind of failure) after at most so many further attempts. Options without a value aren't passed on."""
+    given, kind = {k: v for k, v in options.items() if v is not None}, OTHER
+    for attempt in range(max(0, attempts) + 1):
+        if attempt:
+            sleep(delay_before(attempt - 1))
         paced.wait()
         try:
-            return call(prompt), None
+            return call(prompt, **given) or "", None
         except Exception as error:  # noqa: BLE001  whatever the service's library raises
-            code = getattr(error, "code", None)
-            kind = kind_of(code if isinstance(code, int) else None, str(error), type(error).__name__)
-            if kind not in ("rate_limited", "server", "network") or attempt == attempts:
-                return None, kind
-            sleep(min(2.0 * 2**attempt, LONGEST))
-    return None, "other"
+            kind = kind_of(error)
+        if kind not in AGAIN:
+            break
+    return None, kind
 
 
-def answers(rows: DataFrame, client: Callable[[], Callable[[str], str]], per_minute: float, attempts: int = ATTEMPTS) -> DataFrame:
-    """id, answer, error of rows (id, prompt)."""
-    schema = pa.schema([("id", pa.string()), ("answer", pa.string()), ("error", pa.string())])
+def answers(rows: DataFrame, client: Callable[[], Callable[..., str]], per_minute: float, attempts: int = ATTEMPTS, **options) -> DataFrame:
+    """id, answer, error and ms (its time) of rows (id, prompt). options: such as system_instruction and temperature."""
 
     def run(batches):
         call, paced = client(), Paced(per_minute)
         for batch in batches:
-            done = [called(call, p or "", paced, attempts) for p in batch.column("prompt").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([a for a, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())], schema=schema)
+            done = []
+            for prompt in batch.column("prompt").to_pylist():
+                began = time.monotonic()
+                done.append((*called(call, prompt or "", paced, attempts, **options), int((time.monotonic() - began) * 1000)))
+            columns = list(zip(*done, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, f.type) for c, f in zip(columns, list(ANSWERS)[1:], strict=True))], schema=ANSWERS)
+
+    return rows.selectExpr("cast(id AS string) AS id", "prompt").mapInArrow(run, "id string, answer string, error string, ms long")
+
+
+def json_answers(rows: DataFrame, client: Callable[[], Callable[..., str]], per_minute: float, attempts: int = ATTEMPTS, temperature: float | None = 0.2, **options) -> DataFrame:
+    """id, json and error: the JSON text in each answer; an answer without one is an error of its own kind."""
+    found = answers(rows, client, per_minute, attempts, temperature=temperature, response_mime_type="application/json", **options)
+    return found.withColumn("json", extract_json(F.col("answer"))).select("id", "json", F.when(F.col("error").isNull() & F.col("json").isNull(), BAD_JSON).otherwise(F.col("error")).alias("error"))
+
 
-    return rows.selectExpr("cast(id AS string) AS id", "prompt").mapInArrow(run, "id string, answer string, error string")
+def probes(models: DataFrame, client: Callable[[], Callable[..., str]], prompt: str, attempts: int = ATTEMPTS) -> DataFrame:
+    """model, ok, message (the answer's first SHOWN characters, or the kind of failure) and latency_ms (0 where it failed) of each of models (model): a call to each."""
+    found = answers(models.select(F.col("model").alias("id"), F.lit(prompt).alias("prompt")), client, 0, attempts, temperature=0)
+    ok = F.col("error").isNull()
+    return found.select(F.col("id").alias("model"), ok.alias("ok"), F.when(ok, F.substring(strip(F.col("answer")), 1, SHOWN)).otherwise(F.col("error")).alias("message"), F.when(ok, F.col("ms")).otherwise(0).alias("latency_ms"))

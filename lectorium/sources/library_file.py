@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import clamp, new_id, now_iso
+from ..functions.text import NEW_EXAM, clamp, new_id, now_iso
 
 SAVE_BYTES = 256 << 20
 
@@ -47,12 +47,20 @@ def _id(v: Column) -> Column:
     return F.coalesce(F.nullif(F.try_variant_get(v, "$.id", "string"), F.lit("")), new_id())
 
 
-def _level(v: Column) -> Column:
+def _kind(v: Column, path: str = "$") -> Column:
+    """The JSON type at a path; the empty text where nothing is."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
+
+
+def _whole(v: Column, path: str = "$") -> Column:
     """Whole numbers in text, and numbers cut to whole ones; all else is null."""
-    given = F.schema_of_variant(F.try_variant_get(v, "$.difficulty", "variant"))
-    said = F.regexp_replace(F.try_variant_get(v, "$.difficulty", "string"), r"^\s+|\s+$|(?<=[0-9])_(?=[0-9])", "")
+    said = F.regexp_replace(F.try_variant_get(v, path, "string"), r"^\s+|\s+$|(?<=[0-9])_(?=[0-9])", "")
     whole = F.when(F.regexp_like(said, F.lit(r"^[+-]?[0-9]+$")), said.try_cast("bigint"))
-    return clamp(F.when(given == "STRING", whole).otherwise(F.try_variant_get(v, "$.difficulty", "bigint")))
+    return F.when(_kind(v, path) == "STRING", whole).otherwise(F.try_variant_get(v, path, "bigint"))
+
+
+def _level(v: Column) -> Column:
+    return clamp(_whole(v, "$.difficulty"))
 
 
 def _question(v: Column) -> Column:
@@ -72,20 +80,41 @@ def decode(root: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("ord").cast("long").alias("ord"), _id(F.col("v")).alias("id"), _text(F.col("v"), "title").alias("title"), _text(F.col("v"), "text").alias("text"),
         _text(F.col("v"), "passage_type").alias("passage_type"), _level(F.col("v")).alias("difficulty"), _text(F.col("v"), "difficulty_source").alias("difficulty_source"),
         _text(F.col("v"), "difficulty_reason").alias("difficulty_reason"), _texts(F.col("v"), "tags").alias("tags"), _text(F.col("v"), "source_file").alias("source_file"),
-        F.coalesce(F.variant_get(F.col("v"), "$.source_pages", "array<int>"), F.array().cast("array<int>")).alias("source_pages"),
+        F.transform(_nested(F.col("v"), "source_pages"), lambda p: _whole(p).cast("int")).alias("source_pages"),
         F.transform(_nested(F.col("v"), "questions"), _question).alias("questions"), _stamp(F.col("v"), "created_at").alias("created_at"), _stamp(F.col("v"), "updated_at").alias("updated_at"),
     )
     exams = root.select(F.posexplode(_nested(F.col("root"), "exam_sets")).alias("ord", "v")).select(
-        F.col("ord").cast("long").alias("ord"), _id(F.col("v")).alias("id"), _text(F.col("v"), "title").alias("title"), _texts(F.col("v"), "passage_ids").alias("passage_ids"), _stamp(F.col("v"), "created_at").alias("created_at")
+        F.col("ord").cast("long").alias("ord"), _id(F.col("v")).alias("id"), F.when(_kind(F.col("v"), "$.title") == "", NEW_EXAM).otherwise(_text(F.col("v"), "title")).alias("title"), _texts(F.col("v"), "passage_ids").alias("passage_ids"), _stamp(F.col("v"), "created_at").alias("created_at")
     )
     return passages, exams
 
 
+def broken(root: Column) -> Column:
+    """Whether a root (VARIANT, null for broken JSON) is no library, at any level."""
+
+    def no_object(v: Column) -> Column:
+        return ~_kind(v).startswith("OBJECT")
+
+    def no_list(v: Column, name: str) -> Column:
+        return ~(_kind(v, f"$.{name}").startswith("ARRAY") | _kind(v, f"$.{name}").isin("", "VOID"))
+
+    def bad_question(q: Column) -> Column:
+        return no_object(q) | no_list(q, "choices")
+
+    def bad_passage(p: Column) -> Column:
+        pages = F.exists(_nested(p, "source_pages"), lambda n: _whole(n).try_cast("int").isNull())
+        return no_object(p) | no_list(p, "tags") | no_list(p, "source_pages") | pages | no_list(p, "questions") | F.exists(_nested(p, "questions"), bad_question)
+
+    lists = [~(_kind(root, f"$.{name}").startswith("ARRAY") | (_kind(root, f"$.{name}") == "")) for name in ("passages", "exam_sets")]
+    exams = F.exists(_nested(root, "exam_sets"), lambda e: no_object(e) | no_list(e, "passage_ids"))
+    return root.isNull() | no_object(root) | lists[0] | lists[1] | F.exists(_nested(root, "passages"), bad_passage) | exams
+
+
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """passages and exam sets of a file; BrokenLibrary if it isn't one. Missing ids are drawn anew at each evaluation: write the frames before using them twice."""
     value = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("root"))
-    kind = value.select(F.schema_of_variant("root").alias("kind")).collect()
-    if len(kind) != 1 or not (kind[0]["kind"] or "").startswith("OBJECT"):
+    found = value.select(broken(F.col("root")).alias("broken")).collect()
+    if len(found) != 1 or found[0]["broken"]:
         raise BrokenLibrary(f"{path} is no library")
     return decode(value)
 
@@ -107,16 +136,20 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return empty(spark)
 
 
+def coded(rows: DataFrame) -> DataFrame:
+    """ord, json of each row, nulls written."""
+    return rows.select("ord", F.to_json(F.struct(*(c for c in rows.columns if c != "ord")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def encode(passages: DataFrame, exams: DataFrame) -> str:
     """The library's JSON text, in order, nulls written."""
 
     def listed(rows: DataFrame) -> list[dict]:
-        names = [c for c in rows.columns if c != "ord"]
-        coded = rows.select("ord", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("json"))
-        size = coded.agg(F.sum(F.octet_length("json")).alias("n")).collect()[0]["n"] or 0
+        own = coded(rows)
+        size = own.agg(F.sum(F.octet_length("json")).alias("n")).collect()[0]["n"] or 0
         if size > SAVE_BYTES:
             raise ValueError(f"{size} bytes are too many for one file; write the frames as tables")
-        return [json.loads(r["json"]) for r in coded.orderBy("ord").collect()]
+        return [json.loads(r["json"]) for r in own.orderBy("ord").collect()]
 
     root = {"schema_version": schemas.SCHEMA_VERSION, "passages": listed(passages), "exam_sets": listed(exams)}
     return json.dumps(root, ensure_ascii=False, indent=2)
@@ -129,30 +162,28 @@ def export(passages: DataFrame, exams: DataFrame, path: str) -> None:
 
 def save(passages: DataFrame, exams: DataFrame, path: str) -> None:
     """Write beside the file and then take its place, so a reader sees the old library or the new."""
-    spark = passages.sparkSession
-    text = encode(passages, exams)
-    _write(spark, f"{path}.tmp", text)
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jvm.java.net.URI(_store(spark, path)[0].getUri().toString()), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-    context.rename(_store(spark, f"{path}.tmp")[1], _store(spark, path)[1], overwrite)
+    replace(passages.sparkSession, path, encode(passages, exams))
 
 
-def _write(spark: SparkSession, path: str, text: str) -> None:
+def replace(spark: SparkSession, path: str, text: str, mode: str | None = None) -> None:
+    """The file with that text, put there in one step; mode: access rights, where the store has them."""
+    _write(spark, f"{path}.tmp", text)
     store, at = _store(spark, path)
-    out = store.create(at, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+    beside, jvm = _store(spark, f"{path}.tmp")[1], spark._jvm
+    if mode:
+        store.setPermission(beside, jvm.org.apache.hadoop.fs.permission.FsPermission(mode))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(store.getUri().toString()), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(beside, at, overwrite)
 
 
-def settings(spark: SparkSession, path: str, defaults: dict) -> dict:
-    """Settings of a JSON file: known names alone, and the defaults where the file is missing or broken."""
+def _write(spark: SparkSession, path: str, text: str) -> None:
     store, at = _store(spark, path)
-    if not store.exists(at):
-        return dict(defaults)
-    found = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    store.setWriteChecksum(False)  # a file of checksums beside it would make other programs' changes look like damage
     try:
-        given = json.loads(found)
-    except ValueError:
-        return dict(defaults)
-    return defaults | {k: v for k, v in given.items() if k in defaults} if isinstance(given, dict) else dict(defaults)
+        out = store.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    finally:
+        store.setWriteChecksum(True)

@@ -6,8 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lectorium.functions import errors
 from lectorium.operators import browse, edits, exams
-from lectorium.sources import external, library_file
+from lectorium.sources import external, library_file, settings
 
 LEVELS = [(0, 1), (9, 5), (-3, 1), (3, 3), (" 3 ", 3), ("3.7", None), ("abc", None), ("", None), (3.7, 3), (True, 1), (None, None), (99999999999, 5)]
 
@@ -30,14 +31,32 @@ def test_decode(spark, tmp_path):
     assert sets.count() == 0
 
 
-@pytest.mark.parametrize("broken", ['{"passages": [', "[]", ""])
+def library(passage=None, question=None, exam=None):
+    return json.dumps({"passages": [{"id": "p", "questions": [{"id": "q"} | (question or {})]} | (passage or {})], "exam_sets": [{"id": "e"} | (exam or {})]})
+
+
+BROKEN = ['{"passages": [', "[]", "", "5", "null", '{"passages": {"a": 1}}', '{"passages": null}', '{"passages": "x"}', '{"exam_sets": 3}', '{"passages": ["x"]}', '{"passages": [null]}', '{"exam_sets": [[]]}']
+BROKEN += [library(passage={k: v}) for k, v in (("source_pages", ["x"]), ("source_pages", [None]), ("source_pages", [1, "3.7"]), ("source_pages", 3), ("source_pages", [[1]]), ("tags", "a"), ("questions", {}), ("questions", ["q"]), ("questions", [1]))]
+BROKEN += [library(question={"choices": {"a": 1}}), library(question={"choices": "ab"}), library(exam={"passage_ids": "p"}), library(exam={"passage_ids": {}})]
+
+
+@pytest.mark.parametrize("broken", BROKEN)
 def test_broken(spark, tmp_path, broken):
     path = written(tmp_path, broken)
     with pytest.raises(library_file.BrokenLibrary):
         library_file.read(spark, path)
     passages, sets = library_file.load(spark, path)
     assert passages.count() == sets.count() == 0
-    assert os.path.exists(path.replace(".json", ".corrupt.json"))
+    assert open(path.replace(".json", ".corrupt.json")).read() == broken
+
+
+@pytest.mark.parametrize("whole", ["{}", library(), library(passage={"source_pages": [1, "2", 3.7, True], "tags": None, "questions": None}), library(question={"choices": None}), library(exam={"title": None, "passage_ids": None})])
+def test_whole(spark, tmp_path, whole):
+    path = written(tmp_path, whole)
+    passages, sets = library_file.load(spark, path)
+    assert passages.count() == len(json.loads(whole).get("passages", [])) and not os.path.exists(path.replace(".json", ".corrupt.json"))
+    assert [r["source_pages"] for r in passages.collect() if r["source_pages"]] in ([], [[1, 2, 3, 1]])
+    assert [r["title"] for r in sets.collect()] == (["" if '"title"' in whole else "새 시험지"] if "exam_sets" in whole else [])
 
 
 def test_missing(spark, tmp_path):
@@ -114,6 +133,9 @@ def test_edits(spark, tmp_path):
     assert r["questions"][2]["number"] == "3"
     assert one(edits.add_to_exam(sets, "e", ["x", "p"], 0))["passage_ids"] == ["x", "p"]
     assert one(edits.default_exam_title(sets))["title"] == "시험지 2"
+    made = edits.add_to_exam(sets, "new", ["b", "b"]).orderBy("ord").collect()
+    assert [(r["id"], r["passage_ids"]) for r in made] == [("e", ["p"]), ("new", ["b", "b"])] and made[1]["title"] == "시험지 2"
+    assert edits.add_to_exam(sets, "new", []).count() == 1 and len(edits.new_exam(sets).orderBy("ord").collect()[1]["id"]) == 12
     assert one(edits.reorder_exam(sets, "e", ["b", "a"]))["passage_ids"] == ["b", "a"]
     assert one(edits.remove_from_exam(sets, "e", [0]))["passage_ids"] == []
     assert edits.append(sets, sets).orderBy("ord").collect()[1]["ord"] == 1
@@ -131,8 +153,13 @@ def test_calls(spark):
             raise left.pop()
         return prompt.upper()
 
-    paced = external.Paced(60, clock=lambda: 0.0, sleep=lambda s: None)
-    assert external.called(call, "x", paced, sleep=waits.append) == ("X", None) and waits == [2.0, 4.0]
+    slept = []
+    paced = external.Paced(60, clock=lambda: 0.0, sleep=slept.append)
+    assert external.called(call, "x", paced, sleep=waits.append) == ("X", None) and waits == [2.0, 4.0] and slept == [1.0, 2.0]
+    free = external.Paced(0, clock=lambda: 0.0, sleep=slept.append)
+    assert [free.wait() for _ in range(3)] and len(slept) == 2
+    left += [Busy() for _ in range(9)]
+    assert external.called(call, "x", free, sleep=lambda s: None) == (None, "rate_limited") and len(left) == 5
 
     def bad(prompt):
         raise ValueError("no")
@@ -140,3 +167,48 @@ def test_calls(spark):
     assert external.called(bad, "x", paced, sleep=waits.append) == (None, "other")
     rows = spark.createDataFrame([("1", "a"), ("2", None)], "id string, prompt string")
     assert {r["id"]: r["answer"] for r in external.answers(rows, lambda: str.upper, 6e6).collect()} == {"1": "A", "2": ""}
+    said = lambda: lambda prompt, **options: f"{prompt}{sorted(options.items())}"
+    assert external.answers(rows, said, 0, system_instruction="s", temperature=None).orderBy("id").collect()[0]["answer"] == "a[('system_instruction', 's')]"
+    assert [tuple(r) for r in external.json_answers(rows, said, 0, temperature=None).orderBy("id").collect()] == [("1", None, "bad_json"), ("2", None, "bad_json")]
+    assert [tuple(r)[:3] for r in external.probes(spark.createDataFrame([("m",)], "model string"), lambda: lambda p, **o: f" {p * 30} ", "yes ").collect()] == [("m", True, ("yes " * 30)[:40])]
+
+
+def test_error_kinds_agree(spark):
+    """The table as an expression and of one error."""
+
+    def error(name, code, message):
+        made = type(name, (Exception,), {})(message)
+        made.code = code
+        return made
+
+    cases = [(n, c, m) for n in ("ValueError", "ReadTimeout", "ConnectError") for c in (None, 200, 400, 401, 402, 403, 404, 429, 499, 500, 503, 599) for m in ("", "API key not valid", "bad API_KEY", "network")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, name string, code int, message string")
+    kinds = [r["k"] for r in rows.orderBy("i").select(errors.error_class(F.col("code"), F.col("message"), F.col("name")).alias("k")).collect()]
+    assert kinds == [errors.kind_of(error(*c)) for c in cases] and set(kinds) == {r[0] for r in errors.RULES} | {"other"}
+    assert errors.kind_of(error("X", "429", "")) == "other"
+
+
+def test_settings(spark, tmp_path):
+    path = str(tmp_path / "settings.json")
+    assert settings.load(spark, path, {"a": 1}) == {"a": 1}
+    settings.save(spark, path, {"a": "키", "b": 2})
+    assert settings.load(spark, path, {"a": 1, "c": 3}) == {"a": "키", "c": 3} and os.stat(path).st_mode & 0o777 == 0o600
+    for bad in ("{", "[]"):
+        open(path, "w").write(bad)
+        assert settings.load(spark, path, {"a": 1}) == {"a": 1}
+    assert (settings.key(" k ", "V", {"V": "e"}), settings.key(" ", "V", {"V": " e "}), settings.key(None, "V", {})) == ("k", "e", "")
+    folder = lambda platform, **e: settings.data_folder("app", "DIR", platform, e)
+    assert folder("linux", HOME="/h") == "/h/.local/share/app" and folder("linux", HOME="/h", XDG_DATA_HOME="/x") == "/x/app"
+    assert folder("darwin", HOME="/h") == "/h/Library/Application Support/app" and folder("win32", USERPROFILE="/u") == "/u/AppData/Roaming/app" and folder("win32", APPDATA="/a") == "/a/app"
+    assert folder("linux", HOME="/h", DIR="~/d") == "/h/d" and folder("win32", DIR="/d") == "/d"
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    rows = passages_of(spark, [(0, "a", "x", 3, "", ""), (1, "b", "", None, "", "")])
+    rows.write.parquet(str(tmp_path / "p"))
+    rows.select(F.col("id").alias("passage_id"), F.col("passage_type").alias("question_type")).write.parquet(str(tmp_path / "q"))
+    stored, questions = spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "q"))
+    plan = lambda **k: browse.filter_passages(stored, questions, **k)._jdf.queryExecution().executedPlan().toString().replace(" ", "")
+    assert "PushedFilters:[In(passage_type,[x,y])" in plan(passage_types={"x", "y"}) and "PushedFilters:[Or(EqualTo(passage_type,),IsNull(passage_type))" in plan(passage_types={""})
+    assert "PushedFilters:[In(difficulty,[1,3])" in plan(difficulties={1, 3}) and "PushedFilters:[Or(EqualTo(difficulty,3),IsNull(difficulty))" in plan(difficulties={None, 3})
+    assert "In(question_type,[k,l])" in plan(question_types={"k", "l"})

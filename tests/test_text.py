@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lectorium.functions import arrays, text
+from lectorium.functions import arrays, errors, text
 
 
 def column(spark, values, expression, kind="string"):
@@ -76,7 +76,23 @@ def test_swaps_and_recent(spark):
 
 def test_errors(spark):
     rows = [(400, "bad API key", ""), (400, "x", ""), (403, "", ""), (404, "", ""), (429, "", ""), (503, "", ""), (None, "", "ConnectError"), (None, "", "ValueError")]
-    kind = text.error_class(F.col("c"), F.col("m"), F.col("n"))
-    found = spark.createDataFrame(rows, "c int, m string, n string").select(kind.alias("k"), text.retryable(kind).alias("r")).collect()
+    kind = errors.error_class(F.col("c"), F.col("m"), F.col("n"))
+    found = spark.createDataFrame(rows, "c int, m string, n string").select(kind.alias("k"), errors.retryable(kind).alias("r")).collect()
     assert [r["k"] for r in found] == ["bad_key", "other", "forbidden", "not_found", "rate_limited", "server", "network", "other"]
     assert [r["r"] for r in found] == [False, False, False, False, True, True, True, False]
+
+
+def test_recent_after_several(spark):
+    for entries in (list("xyx"), list("abcab"), [], list("zzzz")):
+        kept = list("abc")
+        for e in entries:
+            kept = [e, *(x for x in kept if x != e)][:4]
+        got = spark.range(1).select(arrays.all_used_recently(F.array(*map(F.lit, "abc")), F.array(*map(F.lit, entries)).cast("array<string>"), 4).alias("y")).collect()[0]["y"]
+        assert got == kept
+
+
+def test_folders(spark):
+    import posixpath
+
+    given = ["/a/b.pdf", "b.pdf", "/b.pdf", "a/b/c", "/a//b"]
+    assert column(spark, given, text.parent_of) == [posixpath.dirname(x) or "." for x in given]
