@@ -8,8 +8,8 @@ the next filter of the chain is begun. A fingerprint is the chain in hexadecimal
 features before it. Two filters' likeness is the overlap of their bits beyond what chance gives, as a share of the most that
 there can be; a digest's likeness to another is the mean, by features, over the shorter chain of the best in the longer.
 
-Documents meet the next one in order of doc_id in ranges of rows; the last document of a range is sent to the following
-range too, so texts are shuffled once.
+Documents meet the next one in order of doc_id in ranges of rows, a partition each; the last document of a range is sent to
+the following range too, so texts are shuffled once.
 
 Defined cases. Null text is empty; an empty text's fingerprint is empty, its likeness to another empty one is 1, to others 0.
 A text of fewer bytes than a window is one feature; one with fewer than POPULAR windows has every fourth window. Rows of the
@@ -213,7 +213,7 @@ def in_order(docs: DataFrame) -> DataFrame:
                     yield of(DEALT, bucket=[following[int(bucket[i])] for i in ending], carried=np.ones(len(ending), bool), doc_id=ids.take(pa.array(ending)), text=text.take(pa.array(ending)))
 
     dealt = kept.mapInArrow(deal, "bucket int, carried boolean, doc_id long, text string")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("carried"), "doc_id", "text")
+    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.desc("carried"), "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, of, text_slices, texts
+from .common import documents, kept_one, of, text_slices, texts
 from .quality import Lookup
 
 DROPOUT = 0.1
@@ -281,10 +280,9 @@ class Encoder:
         return gathered(data, starts, sizes), np.r_[0, np.cumsum(sizes)][np.r_[0, ends]]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, dropout: float, seed: int) -> Encoder:
     """One for each Python worker, file, rate and seed."""
-    return Encoder(path, dropout, seed)
+    return kept_one(("pieces", path, dropout, seed), lambda: Encoder(path, dropout, seed))
 
 
 def encoded(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, path: str | None = None) -> DataFrame:

@@ -1,20 +1,20 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
-The model is trained on trusted documents (labels: quality 1, toxic 0) without a fifth of them, one in HELD_OUT by a hash of
-their ids, which is kept for the bounds. An n-gram is ORDER symbols of BITS bits in one long, so that contexts and suffixes
-are shifts and masks; characters beyond the alphabet share symbols by remainder. Counts, continuation counts, context totals
-and discounts are groupings over the n-grams, sharded by their keys, and n-grams in question are joined order by order to
-those counts, which gives each its probability.
+The model is trained on trusted documents (labels: quality 1, toxic 0), in two halves by a hash of the text, and a document
+of either half is scored by the counts of the other: no document is judged by a model that has seen its text, trusted ones
+and copies of them included. An n-gram is ORDER symbols of BITS bits in one long, and the half in the bit above, so that
+contexts and suffixes are shifts and masks; characters beyond the alphabet share symbols by remainder. Counts, continuation
+counts, context totals and discounts are groupings over the n-grams, sharded by their keys, and n-grams in question are
+joined order by order to those counts, which gives each its probability.
 
 Most n-grams of a text are among the most frequent ones: the probabilities of HOT at most travel with the tasks. One pass
 over the texts sums those up for each document and writes the n-grams that are left over, with their counts, which are then
 joined to the probabilities of their distinct ones and summed by document. Texts are read twice, once for the counts of the
 trusted ones, and never shuffled; both steps start from tables in the shared folder.
 
-A document is kept if its log-perplexity lies between two quantiles of the held-out trusted documents of its language: of
-documents as good, that the model hasn't seen either, a share of LOW falls below and 1 - HIGH above. Quantiles are read off
-counts on a grid of GRID; for languages without held-out documents those of all languages hold, and without any the trained
-ones stand in.
+A document is kept if its log-perplexity lies between two quantiles of the trusted documents of its language: of documents as
+good a share of LOW falls below and 1 - HIGH above. Quantiles are read off counts on a grid of GRID; for languages without
+trusted documents those of all languages hold.
 
 Defined cases. A null or empty text has no perplexity and is not kept. Null languages are one language. Repeated rows are
 judged one by one; a null doc_id stays null and is never trusted. Without trusted documents nothing is known to be bad and
@@ -30,15 +30,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import of, stored, text_slices, texts
+from .common import kept_one, of, stored, text_slices, texts
 
 ORDER = 4
 BITS = 15
-LOW, HIGH = 0.0025, 0.9975
-HELD_OUT = 5
+LOW, HIGH = 0.005, 0.995
+HALF = 1 << (BITS * ORDER)
 GRID = 1000
 PART = 1 << 19
 HOT = 1 << 20
@@ -68,24 +68,30 @@ def grams(rows: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return key, bounds
 
 
+def in_halves(key: np.ndarray, bounds: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """The n-grams with the bit of each text's half."""
+    return key | np.repeat(half.astype(np.int64) * HALF, np.diff(bounds))
+
+
 def trusted_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """k, c over all trusted texts; summed in each task before the shuffle."""
+    """k (with its half), c over all trusted texts; summed in each task before the shuffle."""
 
     def run(batches):
         held_keys, held_counts, size = [], [], 0
         for batch in batches:
             for piece in text_slices(batch, most=PART):
-                values, counts = np.unique(grams(texts(piece), order)[0], return_counts=True)
+                keys = in_halves(*grams(texts(piece), order), piece.column("hash").to_numpy() & 1)
+                values, counts = np.unique(keys, return_counts=True)
                 held_keys.append(values)
                 held_counts.append(counts)
                 size += len(values)
-                if size > 2_000_000:
+                if size > 500_000:
                     yield _summed(held_keys, held_counts)
                     held_keys, held_counts, size = [], [], 0
         if held_keys:
             yield _summed(held_keys, held_counts)
 
-    return trusted.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    return trusted.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
@@ -93,14 +99,33 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
     return of(COUNTS, k=values, c=np.bincount(index, np.concatenate(counts), len(values)).astype(np.int64))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ of modified Kneser-Ney from the counts of counts."""
-    n = {r["c"]: r["n"] for r in counts.where("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in range(1, 5))
-    if not (n1 and n2 and n3 and n4):
-        return [0.5, 0.75, 0.9]
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+def _half(k) -> Column:
+    return (k.bitwiseAND(F.lit(HALF)) != 0).cast("int")
+
+
+def _tail(k, n: int) -> Column:
+    """The last n symbols of an n-gram, and its half."""
+    return k.bitwiseAND(F.lit(HALF | (1 << (BITS * n)) - 1))
+
+
+def _context(k) -> Column:
+    """An n-gram without its last symbol, and its half."""
+    return F.shiftright(k.bitwiseAND(F.lit(HALF - 1)), BITS).bitwiseOR(k.bitwiseAND(F.lit(HALF)))
+
+
+def _discounts(counts: DataFrame) -> list[list[float]]:
+    """D1, D2, D3+ of modified Kneser-Ney from the counts of counts, for each half."""
+    found = counts.where("c <= 4").groupBy(_half(F.col("k")).alias("half"), "c").agg(F.count(F.lit(1)).alias("n")).collect()
+    out = []
+    for half in (0, 1):
+        n = {r["c"]: r["n"] for r in found if r["half"] == half}
+        n1, n2, n3, n4 = (n.get(i, 0) for i in range(1, 5))
+        if not (n1 and n2 and n3 and n4):
+            out.append([0.5, 0.75, 0.9])
+            continue
+        y = n1 / (n1 + 2 * n2)
+        out.append([min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))])
+    return out
 
 
 class KneserNey:
@@ -110,31 +135,29 @@ class KneserNey:
         self.order = order
         self.levels = {order: stored(trusted_counts(trusted, order), f"grams{order}")}
         for n in range(order - 1, 0, -1):  # continuation counts: how many different n-grams end so
-            tail = F.col("k").bitwiseAND(F.lit((1 << (BITS * n)) - 1).cast("long"))
-            self.levels[n] = stored(self.levels[n + 1].select(tail.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")), f"grams{n}")
+            self.levels[n] = stored(self.levels[n + 1].select(_tail(F.col("k"), n).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")), f"grams{n}")
         self.discounts = {n: _discounts(level) for n, level in self.levels.items()}
-        self.total, self.spare = self.levels[1].agg(F.coalesce(F.sum("c"), F.lit(0)).cast("double"), F.coalesce(self._spare(1), F.lit(0.0))).collect()[0]
+        self.whole = {r["half"]: (float(r["t"]), float(r["g"])) for r in self.levels[1].groupBy(_half(F.col("k")).alias("half")).agg(F.sum("c").alias("t"), F.sum(self._discount(1, F.col("k"))).alias("g")).collect()}
 
-    def _spare(self, n: int):
-        """The mass that discounting takes from a context's n-grams."""
-        d = self.discounts[n]
-        return F.sum(F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]))
+    def _discount(self, n: int, k: Column) -> Column:
+        """What is taken from an n-gram's count c."""
+        of = lambda d: F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        return F.when(_half(k) == 0, of(self.discounts[n][0])).otherwise(of(self.discounts[n][1]))
 
     def probabilities(self, asked: DataFrame) -> DataFrame:
         """k and logp (natural logarithm) of each n-gram in asked (k, distinct)."""
         found, p = asked.select("k"), F.lit(1.0 / (1 << BITS))
         for n in range(1, self.order + 1):
-            d, own = self.discounts[n], F.col("k").bitwiseAND(F.lit((1 << (BITS * n)) - 1).cast("long"))
             counted = self.levels[n].select(F.col("k").alias("own"), "c")
-            # one symbol: 2 ** BITS rows at most
-            found = found.withColumn("p", p).withColumn("own", own).join(F.broadcast(counted) if n == 1 else counted, "own", "left")
+            # one symbol: 2 ** BITS rows in either half at most
+            found = found.withColumn("p", p).withColumn("own", _tail(F.col("k"), n)).join(F.broadcast(counted) if n == 1 else counted, "own", "left")
             if n == 1:
-                found = found.withColumn("t", F.lit(float(self.total))).withColumn("g", F.lit(float(self.spare)))
+                of = lambda i: F.when(_half(F.col("k")) == 0, F.lit(self.whole.get(0, (0.0, 0.0))[i])).otherwise(F.lit(self.whole.get(1, (0.0, 0.0))[i]))
+                found = found.withColumns({"t": of(0), "g": of(1)})
             else:
-                contexts = self.levels[n].groupBy(F.shiftright("k", BITS).alias("ctx")).agg(F.sum("c").alias("t"), self._spare(n).alias("g"))
-                found = found.withColumn("ctx", F.shiftright("own", BITS)).join(contexts, "ctx", "left")
-            discount = F.when(F.col("c") >= 3, d[2]).when(F.col("c") == 2, d[1]).otherwise(d[0])
-            kept = F.coalesce(F.greatest(F.col("c") - discount, F.lit(0.0)), F.lit(0.0))
+                contexts = self.levels[n].groupBy(_context(F.col("k")).alias("ctx")).agg(F.sum("c").alias("t"), F.sum(self._discount(n, F.col("k"))).alias("g"))
+                found = found.withColumn("ctx", _context(F.col("own"))).join(contexts, "ctx", "left")
+            kept = F.coalesce(F.greatest(F.col("c") - self._discount(n, F.col("k")), F.lit(0.0)), F.lit(0.0))
             found = found.select("k", F.when(F.col("t") > 0, kept / F.col("t") + F.col("g") / F.col("t") * F.col("p")).otherwise(F.col("p")).alias("p"))
             p = F.col("p")
         return found.select("k", F.log("p").alias("logp"))
@@ -172,16 +195,20 @@ class Lookup:
 
 def summed(docs: DataFrame, keys: np.ndarray, logs: np.ndarray, order: int = ORDER) -> DataFrame:
     """Per row a number of its own (rid), the sum of its n-grams' logarithms as far as they are known (keys, logs), and the rest."""
-    sent = docs.sparkSession.sparkContext.broadcast((keys, logs.astype(np.float32)))
+    sent, name = docs.sparkSession.sparkContext.broadcast((keys, logs.astype(np.float32))), uuid.uuid4().hex
 
-    def run(batches):
+    def table():
         known, logp = sent.value
-        known = np.r_[known, -1]  # never empty; no n-gram is below zero
-        logp, look = np.r_[logp, 0].astype(np.float64), Lookup(known[:-1]) if len(known) > 1 else None
+        # never empty; no n-gram is below zero
+        return np.r_[known, -1], np.r_[logp, 0].astype(np.float64), Lookup(known) if len(known) else None
+
+    def run(batches):
+        known, logp, look = kept_one(("grams", name), table)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in text_slices(batch, most=PART):
                 key, bounds = grams(texts(piece), order)
+                key = in_halves(key, bounds, ~piece.column("hash").to_numpy() & 1)  # asks the other half
                 at = look(key) if look is not None else np.full(len(key), len(known) - 1)
                 left = np.flatnonzero(known[at] != key)
                 found = logp[at]
@@ -228,14 +255,10 @@ def scored(docs: DataFrame, trusted: DataFrame, order: int = ORDER, hot: int = H
 def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, order: int = ORDER) -> DataFrame:
     """doc_id, lang, hash, n_grams, log_ppl, the language's bounds least and most, kept."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    train = good.where(~held_out)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    trusted = own.join(F.broadcast(train) if train.count() <= BROADCAST_IDS else train, "doc_id", "left_semi")
+    trusted = own.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, "doc_id", "left_semi")
     rows = stored(scored(docs, trusted, order), "scored")
-    known = stored(rows.where("log_ppl IS NOT NULL").join(good.withColumn("held_out", held_out), "doc_id").select(F.coalesce("lang", F.lit("")).alias("l"), F.floor(F.col("log_ppl") * GRID).alias("bin"), "held_out").groupBy("l", "bin", "held_out").agg(F.count(F.lit(1)).alias("n")), "bins")
-    some = known.where("held_out")
-    bins = (known if some.isEmpty() else some).select("l", "bin", "n")
+    bins = rows.where("log_ppl IS NOT NULL").join(good, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("l"), F.floor(F.col("log_ppl") * GRID).alias("bin")).groupBy("l", "bin").agg(F.count(F.lit(1)).alias("n"))
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit("*").alias("l"), "bin", "n"))
     up = Window.partitionBy("l").orderBy("bin")
     share = bins.select("l", "bin", (F.sum("n").over(up) / F.sum("n").over(Window.partitionBy("l"))).alias("share"))

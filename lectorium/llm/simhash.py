@@ -15,6 +15,7 @@ doc_id gets the class of the others with its fingerprint, null if there are none
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from itertools import repeat
 
@@ -24,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_slice, documents, of, partitions, stored, texts
+from .common import by_slice, discard, documents, of, partitions, stored, texts
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-LEAF = 1 << 16
-MAX_LEAVES = 1 << 14
+LEAF, LARGEST = 1 << 16, 1 << 20
+MAX_LEAVES = 1 << 12
 SAMPLE = 40_000
 CANDIDATES = 48
 BRUTE = 2048
@@ -80,25 +81,28 @@ def _split(prints: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[i
     return (int(near[point]), int(cut), float(larger[point, cut])) if np.isfinite(cost[point, cut]) else None
 
 
-def plan_tree(sample: np.ndarray, total: int, radius: int, leaf: int = LEAF) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage point, cut, inside child, outside child); a child below 0 is the leaf -1 - child."""
+def plan_tree(sample: np.ndarray, total: int, radius: int, leaf: int = LEAF, most: int = MAX_LEAVES) -> list[tuple[int, int, int, int]]:
+    """Nodes (vantage point, cut, inside child, outside child); a child below 0 is the leaf -1 - child. The fullest part is split first, until parts hold leaf fingerprints or there are as many as may be."""
     rng, nodes, leaves = np.random.default_rng(SEED), [], 0
-
-    def grow(prints: np.ndarray, depth: int) -> int:
-        nonlocal leaves
-        share = len(prints) / max(1, len(sample))
-        found = _split(prints, radius, rng) if share * total > leaf and len(prints) >= 32 and depth < 24 else None
+    open_: list[tuple[int, int, np.ndarray, int, int]] = [(-len(sample), 0, sample, -1, 0)]  # the node above, and which of its children this is
+    turn = 0
+    while open_:
+        size, _, prints, above, side = heapq.heappop(open_)
+        full = -size / max(1, len(sample)) * total > leaf and len(prints) >= 32 and leaves + len(open_) + 1 < most
+        found = _split(prints, radius, rng) if full else None
         if found is None or found[2] > 0.9:
             leaves += 1
-            return -leaves
-        at, (point, cut, _) = len(nodes), found
-        nodes.append((point, cut, 0, 0))
-        distance = np.bitwise_count(prints ^ np.uint64(point)).astype(int)
-        nodes[at] = (point, cut, grow(prints[distance <= cut], depth + 1), grow(prints[distance > cut - radius], depth + 1))
-        return at
-
-    grow(sample, 0)
-    return nodes
+            at = -leaves
+        else:
+            at, (point, cut, _) = len(nodes), found
+            nodes.append([point, cut, 0, 0])
+            distance = np.bitwise_count(prints ^ np.uint64(point)).astype(int)
+            for side_, part in ((2, prints[distance <= cut]), (3, prints[distance > cut - radius])):
+                turn += 1
+                heapq.heappush(open_, (-len(part), turn, part, at, side_))
+        if above >= 0:
+            nodes[above][side] = at
+    return [tuple(n) for n in nodes]
 
 
 def route(nodes: list[tuple[int, int, int, int]], prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,15 +157,17 @@ def forest(prints: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def links(nodes_of: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+def links(nodes_of: DataFrame, radius: int = RADIUS, leaf: int | None = None) -> DataFrame:
     """Edges (u, v), u > v, that connect exactly the nodes whose fingerprints are linked by steps within the radius.
 
-    nodes_of: fp, node; each fingerprint once.
+    nodes_of: fp, node; each fingerprint once. A leaf holds what its share of the session's partitions calls for, LEAF at
+    least and LARGEST at most, or more where MAX_LEAVES leaves would not do.
     """
     known = nodes_of.where("node IS NOT NULL")
     total = known.count()
     sample = known.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()
-    tree = plan_tree(sample.column("fp").to_numpy().view(np.uint64), total, radius, max(leaf, total // MAX_LEAVES))
+    leaf = leaf or min(max(LEAF, total // (4 * partitions(nodes_of))), LARGEST)
+    tree = plan_tree(sample.column("fp").to_numpy().view(np.uint64), total, radius, leaf)
 
     def deal(batches):
         for batch in batches:
@@ -191,6 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(small, "edges")
         roots = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
         open_ = roots.where("n > 1").select("u").limit(1).unionByName(roots.join(roots.select(F.col("u").alias("v")), "v", "left_semi").select("u").limit(1))
+        discard(now)
         now = after
         if open_.isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

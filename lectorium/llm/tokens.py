@@ -10,11 +10,12 @@ whole instead.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
+from .common import kept_one
+
 CACHE = 800_000
 BATCH = 2_000
 # White space of the splitting pattern, and control characters that Python counts as white space.
@@ -167,7 +168,6 @@ class Encoder:
         self.used += total
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
-    return Encoder(path)
+    return kept_one(("tokens", path), lambda: Encoder(path))
