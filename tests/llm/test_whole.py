@@ -39,6 +39,39 @@ def test_pipeline_links_near_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()} == set(label)
 
 
+def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    """A family of texts with one long passage, near copies among them: the classes are those of all pairs, and few pairs are compared."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(130)]
+    rows = [passage + [f"w{rng.randrange(10**6)}" for _ in range(70)] for _ in range(150)]
+    for at in range(0, 40, 4):
+        copy = list(rows[at])
+        copy[rng.randrange(140, 190)] = "changed"
+        rows += [copy, copy[:-3]]
+    rows = [" ".join(r) for r in rows]
+    sets = [grams(t) for t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    compared = []
+    verify = shingles.verified
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "verified", counting)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for most in (200, 0):
+        compared.clear()
+        assert {r["doc_id"]: r["component_id"] for r in shingles.classes(docs, most).collect()} == dict(enumerate(label))
+        assert sum(compared) < 2000 < len(rows) * (len(rows) - 1) // 2
+    assert len(set(label)) < len(rows)
+
+
 def test_pairs_are_replaced_until_a_rule_does_not_pay():
     """No pair is left that occurs often enough, and random access holds."""
     rng = np.random.default_rng(7)
