@@ -9,11 +9,11 @@ features before it. Two filters' likeness is the overlap of their bits beyond wh
 there can be; a digest's likeness to another is the mean, by features, over the shorter chain of the best in the longer.
 
 Documents meet the next one in order of doc_id in ranges of rows, a partition each; the last document of a range is sent to
-the following range too, so texts are shuffled once.
+the following range too, so texts are shuffled once. An id that holds many rows, or none, is cut into ranges by a hash.
 
 Defined cases. Null text is empty; an empty text's fingerprint is empty, its likeness to another empty one is 1, to others 0.
 A text of fewer bytes than a window is one feature; one with fewer than POPULAR windows has every fourth window. Rows of the
-same doc_id are in the order of their texts; a null doc_id comes before all others. A document alone is its own next one.
+same doc_id are in the order of a hash of their texts; a null doc_id comes before all others. A document alone is its own next one.
 Other columns are ignored.
 """
 
@@ -40,7 +40,8 @@ SLICE = 1 << 21
 ROWS = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 )
-DEALT = pa.schema([("bucket", pa.int32()), ("carried", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+DEALT = pa.schema([("bucket", pa.int32()), ("carried", pa.bool_()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("text", pa.string())])
+NO_ID, LAST = -(1 << 63), (1 << 63) - 1
 ALL_PAIRS = WINDOW * (WINDOW - 1) // 2
 
 
@@ -183,37 +184,64 @@ def digests(rows: list[str], rank: np.ndarray) -> list[Digest]:
     return out
 
 
+def ranges(ids: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of about n ranges of (doc_id, hash), as two columns: the last pair of each range but the final one. An id that fills several ranges is cut by hash."""
+    total, lacking = ids.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).collect()[0]
+    parts = [i / n for i in range(1, n)]
+    found = ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", parts, 0.1 / n) if n > 1 and total > lacking else []
+    values, times = np.unique(np.array(found, np.int64), return_counts=True)
+    nulls = int(n * lacking / total) if total else 0
+    bounds = [(NO_ID, _cut(i, nulls + 1)) for i in range(1, nulls + 1)] + [(NO_ID, LAST)] * (nulls > 0)
+    for value, many in zip(values.tolist(), times.tolist(), strict=True):
+        bounds += [(max(value - 1, NO_ID), LAST)] * (many > 1) + [(value, _cut(i, many)) for i in range(1, many)] + [(value, LAST)]
+    pairs = sorted(set(bounds))
+    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+
+
+def _cut(i: int, many: int) -> int:
+    """The i-th of the hashes that cut all of them into so many equal parts."""
+    return -(1 << 63) + (i << 64) // many
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """bucket, carried, doc_id, text: ranges of doc_id in order, each led by the last document of the one before (carried)."""
-    kept = documents(docs)
+    kept = documents(docs).withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     n = partitions(docs)
-    bounds = np.unique(np.array(kept.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [], np.int64))
+    bound_ids, bound_hashes = ranges(kept.select("doc_id"), n)
+    names = np.unique(bound_ids)
 
-    def bucket_of(ids: pa.Array) -> np.ndarray:
-        known = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        return np.searchsorted(bounds, known, side="left").astype(np.int32)
+    def bucket_of(ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        known = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        bucket = np.searchsorted(bound_ids, known, side="left")  # of the first bound of that id or a later one
+        for i in np.flatnonzero(np.isin(known, names)) if len(known) else ():
+            a, b = np.searchsorted(bound_ids, known[i], side="left"), np.searchsorted(bound_ids, known[i], side="right")
+            bucket[i] = a + np.searchsorted(bound_hashes[a:b], hashes[i], side="left")
+        return bucket.astype(np.int32)
 
     def last(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(ids)), ids], names=["bucket", "doc_id"])
+            ids, hashes = batch.column("doc_id"), batch.column("hash")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(ids, hashes.to_numpy())), ids, hashes], names=["bucket", "doc_id", "hash"])
 
-    ends = {r["bucket"]: r["doc_id"] for r in kept.select("doc_id").mapInArrow(last, "bucket int, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()}
+    # null is less than any number here too
+    found = kept.select("doc_id", "hash").mapInArrow(last, "bucket int, doc_id long, hash long").groupBy("bucket").agg(F.max(F.struct("doc_id", "hash")).alias("last")).collect()
+    ends = {r["bucket"]: tuple(r["last"]) for r in found}
     order = sorted(ends)
     following = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
 
     def deal(batches):
         for batch in batches:
             for piece in text_slices(batch):
-                ids, text = piece.column("doc_id"), piece.column("text")
-                bucket = bucket_of(ids)
-                yield of(DEALT, bucket=bucket, carried=np.zeros(len(bucket), bool), doc_id=ids, text=text)
-                ending = [i for i, (b, d) in enumerate(zip(bucket.tolist(), ids.to_pylist(), strict=True)) if d == ends[b]]
+                ids, text, hashes = piece.column("doc_id"), piece.column("text"), piece.column("hash").to_numpy()
+                bucket = bucket_of(ids, hashes)
+                yield of(DEALT, bucket=bucket, carried=np.zeros(len(bucket), bool), doc_id=ids, hash=hashes, text=text)
+                ending = [i for i, (b, *pair) in enumerate(zip(bucket.tolist(), ids.to_pylist(), hashes.tolist(), strict=True)) if tuple(pair) == ends[b]]
                 if ending:
-                    yield of(DEALT, bucket=[following[int(bucket[i])] for i in ending], carried=np.ones(len(ending), bool), doc_id=ids.take(pa.array(ending)), text=text.take(pa.array(ending)))
+                    at = pa.array(ending)
+                    yield of(DEALT, bucket=[following[int(bucket[i])] for i in ending], carried=np.ones(len(ending), bool), doc_id=ids.take(at), hash=hashes[ending], text=text.take(at))
 
-    dealt = kept.mapInArrow(deal, "bucket int, carried boolean, doc_id long, text string")
-    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.desc("carried"), "doc_id", "text")
+    dealt = kept.mapInArrow(deal, "bucket int, carried boolean, doc_id long, hash long, text string")
+    return dealt.repartitionById(max(n, len(bound_ids) + 1), F.col("bucket")).sortWithinPartitions("bucket", F.desc("carried"), "doc_id", "hash", "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -12,8 +12,8 @@ Payload, little-endian: magic "RPG1"; u32 documents, symbols, rules, first nonte
 per document i64 doc_id, u8 known (0: doc_id is null), u64 ids, u64 place of its first symbol; per rule u32 left, u32 right, u64 length of expansion;
 the symbols. The end token is not stored: readers give it back.
 
-Defined cases. Null and empty texts are the end token alone. Rows with the same doc_id are all kept, in the order of their
-texts; null doc_ids come first. An empty table gives no shards. Other columns are ignored.
+Defined cases. Null and empty texts are the end token alone. Rows with the same doc_id are all kept, in the order of a
+hash of their texts; null doc_ids come first. An empty table gives no shards. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -282,8 +282,9 @@ def shards(docs: DataFrame, path: str | None = None, shard: int = SHARD) -> Data
         if held:
             yield flush()
 
-    kept = documents(docs)
-    ordered = kept.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    kept = documents(docs).withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # by a hash too, so an id that holds many rows is spread over several ranges
+    ordered = kept.repartitionByRange(partitions(docs), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     return ordered.mapInArrow(run, "part int, shard int, n_docs long, n_ids long, payload binary")
 
 

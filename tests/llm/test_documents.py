@@ -213,9 +213,34 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["component"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(201)} | {(n, 400) for n in (400, 450, 500)}
 
 
+def signed_hash(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_ids_with_many_rows_fill_several_ranges(spark):
+    """A third of the rows have one doc_id, a third none: each row is in the range that the order calls for, and no range has much more than its share."""
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} {'x' * (i % 40)}") for i in range(1200)]
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        dealt = [r for r in digest.in_order(frame).collect() if not r["carried"]]
+        found = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in digest.fingerprints(frame).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    key = lambda i, t: (i is not None, i or 0, signed_hash(t))
+    placed = sorted(dealt, key=lambda r: key(r["doc_id"], r["text"]))
+    assert [r["bucket"] for r in placed] == sorted(r["bucket"] for r in placed)
+    sizes = collections.Counter(r["bucket"] for r in dealt)
+    assert len(sizes) >= 10 and max(sizes.values()) < 3 * 1200 / 12
+    order = sorted(rows, key=lambda r: key(*r))
+    edits = [(i, len(t), hashlib.sha256(digest.edited(t, order[n - 1][1]).encode()).hexdigest()) for n, (i, t) in enumerate(order)]
+    assert sorted(found, key=str) == sorted(edits, key=str)
+
+
 def test_digest_in_order(odd, odd_rows, docs, none):
     for frame, rows in ((odd, odd_rows), (docs, [(r["doc_id"], r["text"]) for r in docs.collect()])):
-        order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1]), r[1]))
         expected = []
         rank = digest.ranks(digest.tally(frame))
         own = [digest.digests([t], rank)[0] for _, t in order]
@@ -403,9 +428,8 @@ def test_perplexity(spark):
 
 
 @pytest.mark.parametrize("hot", [0, 40, 1 << 20])
-def test_whole_classifier(spark, hot, monkeypatch):
+def test_whole_classifier(spark, hot):
     """Discounts, perplexities, bounds and verdicts, each document by the other half's counts, with n-grams known to the tasks and joined."""
-    monkeypatch.setattr(quality.scored, "__defaults__", (quality.ORDER, hot))
     r = random.Random(11)
     vocabulary = {"en": ["the", "cat", "sat", "on", "mats"], "fr": ["le", "chat", "est", "là"]}
     rows = [(i, lang, " ".join(r.choice(vocabulary[lang]) for _ in range(r.randint(3, 12)))) for i, lang in enumerate(r.choice(["en", "fr"]) for _ in range(120))]
@@ -428,7 +452,7 @@ def test_whole_classifier(spark, hot, monkeypatch):
         share = lambda q: next(b for n, b in enumerate(bins, 1) if n / len(bins) >= q)  # noqa: B023, E731
         bounds[lang] = share(quality.LOW) / 1000, (share(quality.HIGH) + 1) / 1000
     found = collections.defaultdict(list)
-    for x in quality.judged(docs, marks).collect():
+    for x in quality.judged(docs, marks, hot=hot).collect():
         found[x["doc_id"]].append(x)
     for i, lang, s in expected:
         least, most = bounds[lang if lang in ("en", "fr") else None]
