@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept_one, of, stored, text_slices, texts
+from .common import discard, kept_one, of, stored, text_slices, texts
 
 ORDER = 4
 BITS = 15
@@ -239,8 +239,8 @@ def summed(docs: DataFrame, keys: np.ndarray, logs: np.ndarray, order: int = ORD
     return rows.withColumn("hash", F.xxhash64("text")).mapInArrow(run, SUMMED_DDL)
 
 
-def scored(docs: DataFrame, trusted: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
-    """doc_id, lang, hash (of the text), n_grams and log_ppl of every row."""
+def _scored(docs: DataFrame, trusted: DataFrame, order: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of scored(), and the tables that they come from."""
     model = KneserNey(trusted, order)
     common = model.probabilities(model.frequent(hot)).toArrow().sort_by("k")
     rows = stored(summed(docs, common.column("k").to_numpy(), common.column("logp").to_numpy(), order), "summed")
@@ -249,15 +249,22 @@ def scored(docs: DataFrame, trusted: DataFrame, order: int = ORDER, hot: int = H
     more = rest.join(answers, "k").groupBy("rid").agg(F.sum(F.col("c") * F.col("logp")).alias("more"))
     every = rows.drop("rest").join(more, "rid", "left")
     total = F.col("logp") + F.coalesce("more", F.lit(0.0))
-    return every.select("doc_id", "lang", "hash", "n_grams", F.when(F.col("n_grams") > 0, F.round(-total / F.col("n_grams"), 9)).alias("log_ppl"))
+    return every.select("doc_id", "lang", "hash", "n_grams", F.when(F.col("n_grams") > 0, F.round(-total / F.col("n_grams"), 9)).alias("log_ppl")), [rows, *model.levels.values()]
+
+
+def scored(docs: DataFrame, trusted: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
+    """doc_id, lang, hash (of the text), n_grams and log_ppl of every row."""
+    return _scored(docs, trusted, order, hot)[0]
 
 
-def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, order: int = ORDER) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, order: int = ORDER, hot: int = HOT) -> DataFrame:
     """doc_id, lang, hash, n_grams, log_ppl, the language's bounds least and most, kept."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trusted = own.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, "doc_id", "left_semi")
-    rows = stored(scored(docs, trusted, order), "scored")
+    found, used = _scored(docs, trusted, order, hot)
+    rows = stored(found, "scored")
+    discard(*used)
     bins = rows.where("log_ppl IS NOT NULL").join(good, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("l"), F.floor(F.col("log_ppl") * GRID).alias("bin")).groupBy("l", "bin").agg(F.count(F.lit(1)).alias("n"))
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit("*").alias("l"), "bin", "n"))
     up = Window.partitionBy("l").orderBy("bin")
