@@ -102,14 +102,15 @@ TEMPLATES = {
         "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or "
         "altered from any source distribution."
     ),
+}
+TEMPLATES |= {
     "Unlicense-text": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as "
         "a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all "
         "copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication "
-        "to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+        "to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        + _AS_IS.replace(" OR COPYRIGHT HOLDERS", "")
     ),
-}
-TEMPLATES |= {
     "MIT-text": f"{TEMPLATES['MIT']} {_AS_IS}",
     "ISC-text": (
         f"{TEMPLATES['ISC']} "
