@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest, licenses, packing, pieces, quality, rules, secrets, simhash, tokenfile, wrapper
+from . import digest, licenses, packing, pieces, quality, replies, rules, search, secrets, simhash, tokenfile, trie, wrapper
 from .common import table
 
 
@@ -46,5 +46,17 @@ def op10_digest(spark, sf_dir):
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_quality": op2_quality, "op3_tokens": op3_tokens, "op4_licenses": op4_licenses, "op5_secrets": op5_secrets, "op6_html": op6_html, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest}
-ORACLES = {"op7_rules": rules.ORACLE_SQL}
+def op11_search(spark, sf_dir):
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_replies(spark, sf_dir):
+    return replies.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_trie(spark, sf_dir):
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_pieces": op1_pieces, "op2_quality": op2_quality, "op3_tokens": op3_tokens, "op4_licenses": op4_licenses, "op5_secrets": op5_secrets, "op6_html": op6_html, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_digest": op10_digest, "op11_search": op11_search, "op12_replies": op12_replies, "op13_trie": op13_trie}
+ORACLES = {"op7_rules": rules.ORACLE_SQL, "op11_search": search.ORACLE_SQL, "op12_replies": replies.ORACLE_SQL, "op13_trie": trie.ORACLE_SQL}
