@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import arrays, text
 from ..operators import browse, edits
 from ..sources import external, library_file
+from ..sources.store import shared_folder
 from . import adapters
 from .registry import query
 
@@ -162,6 +166,29 @@ def encode_exams(spark, sf_dir):
     return library_file.coded(rows.withColumn("created_at", F.when(F.col("id") % 2 == 1, F.col("created_at"))))
 
 
+def _filed(spark, sf_dir):
+    """documents and customers' exams, saved as a library file in the shared folder and read from it."""
+    docs = adapters.passages_of_documents(spark, sf_dir).withColumnRenamed("id", "_id")
+    lists = {f.name: F.array().cast(f.dataType) for f in schemas.passages() if f.dataType.simpleString().startswith("array")}
+    texts = {f.name: F.lit("") for f in schemas.passages() if f.name not in docs.columns and f.name not in lists}
+    passages = docs.withColumns(texts | lists | {"id": F.col("_id").cast("string")}).select(*(f.name for f in schemas.passages()))
+    exams = adapters.exam_sets_of_customers(spark, sf_dir).withColumns({"id": F.col("id").cast("string"), "passage_ids": F.col("passage_ids").cast("array<string>")})
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/library.json"
+    library_file.save(passages, exams, path)
+    return library_file.load(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id::VARCHAR AS id, lang AS passage_type, 1 + quality + 2 * toxic AS difficulty, md5(text) AS text, source AS source_file FROM documents LEFT JOIN labels USING (doc_id)")
+def saved_passages(spark, sf_dir):
+    return _filed(spark, sf_dir)[0].select("ord", "id", "passage_type", "difficulty", F.md5("text").alias("text"), "source_file")
+
+
+@query(f"WITH {E} SELECT row_number() OVER (ORDER BY id) - 1 AS ord, {SHOWN.replace('id,', 'id::VARCHAR AS id,', 1)} FROM e")
+def saved_exams(spark, sf_dir):
+    rows = _filed(spark, sf_dir)[1]
+    return rows.select("ord", "id", "title", F.array_join("passage_ids", ",").alias("ids"))
+
+
 class _Missing(Exception):
     code = 404
 

@@ -1,8 +1,9 @@
 """Library files: one JSON object with passages and exam sets, read into frames and written as one file.
 
-A file is read as one value and taken apart as a VARIANT, so that numbers given for text become text, and difficulties keep
-their JSON type until they are cast. Paths may lie in any store that Spark reaches. For libraries beyond one file, write
-the frames as tables; SAVE_BYTES bounds what save() brings to the driver.
+A file is cut into its entries in as many tasks as it has splits (json_splits.py), and each entry is taken apart as a VARIANT
+of its own, so that numbers given for text become text, and difficulties keep their JSON type until they are cast. A file is
+written by as many tasks, in order; its parts are then put behind each other, and the whole takes its place in one step. Paths
+may lie in any store that Spark reaches.
 
 Deviations from loose parsing, all by choice: null for a text or a list is the empty one; an unbounded or unparsable
 difficulty is null; a root that is no object is an error like broken JSON.
@@ -11,26 +12,25 @@ difficulty is null; a root that is no object is an error like broken JSON.
 from __future__ import annotations
 
 import json
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import NEW_EXAM, clamp, new_id, now_iso
+from .json_splits import BrokenJson, lists_of, visible
+from .store import at as _store
 
-SAVE_BYTES = 256 << 20
+BUFFER = 1 << 16
+LINES = pa.schema([("value", pa.string())])
 
 
 class BrokenLibrary(ValueError):
     """The file isn't a library."""
 
 
-def _store(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def _text(v: Column, name: str) -> Column:
     return F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(""))
 
@@ -74,49 +74,87 @@ def _stamp(v: Column, name: str) -> Column:
     return F.coalesce(F.nullif(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")), now_iso())
 
 
+def _passages(entries: DataFrame) -> DataFrame:
+    """entries: ord, v (VARIANT)."""
+    v = F.col("v")
+    return entries.select(
+        F.col("ord").cast("long").alias("ord"), _id(v).alias("id"), _text(v, "title").alias("title"), _text(v, "text").alias("text"),
+        _text(v, "passage_type").alias("passage_type"), _level(v).alias("difficulty"), _text(v, "difficulty_source").alias("difficulty_source"),
+        _text(v, "difficulty_reason").alias("difficulty_reason"), _texts(v, "tags").alias("tags"), _text(v, "source_file").alias("source_file"),
+        F.transform(_nested(v, "source_pages"), lambda p: _whole(p).cast("int")).alias("source_pages"),
+        F.transform(_nested(v, "questions"), _question).alias("questions"), _stamp(v, "created_at").alias("created_at"), _stamp(v, "updated_at").alias("updated_at"),
+    )
+
+
+def _exams(entries: DataFrame) -> DataFrame:
+    v = F.col("v")
+    title = F.when(_kind(v, "$.title") == "", NEW_EXAM).otherwise(_text(v, "title"))
+    return entries.select(F.col("ord").cast("long").alias("ord"), _id(v).alias("id"), title.alias("title"), _texts(v, "passage_ids").alias("passage_ids"), _stamp(v, "created_at").alias("created_at"))
+
+
 def decode(root: DataFrame) -> tuple[DataFrame, DataFrame]:
     """passages and exam sets of the rows of root (root: VARIANT object)."""
-    passages = root.select(F.posexplode(_nested(F.col("root"), "passages")).alias("ord", "v")).select(
-        F.col("ord").cast("long").alias("ord"), _id(F.col("v")).alias("id"), _text(F.col("v"), "title").alias("title"), _text(F.col("v"), "text").alias("text"),
-        _text(F.col("v"), "passage_type").alias("passage_type"), _level(F.col("v")).alias("difficulty"), _text(F.col("v"), "difficulty_source").alias("difficulty_source"),
-        _text(F.col("v"), "difficulty_reason").alias("difficulty_reason"), _texts(F.col("v"), "tags").alias("tags"), _text(F.col("v"), "source_file").alias("source_file"),
-        F.transform(_nested(F.col("v"), "source_pages"), lambda p: _whole(p).cast("int")).alias("source_pages"),
-        F.transform(_nested(F.col("v"), "questions"), _question).alias("questions"), _stamp(F.col("v"), "created_at").alias("created_at"), _stamp(F.col("v"), "updated_at").alias("updated_at"),
-    )
-    exams = root.select(F.posexplode(_nested(F.col("root"), "exam_sets")).alias("ord", "v")).select(
-        F.col("ord").cast("long").alias("ord"), _id(F.col("v")).alias("id"), F.when(_kind(F.col("v"), "$.title") == "", NEW_EXAM).otherwise(_text(F.col("v"), "title")).alias("title"), _texts(F.col("v"), "passage_ids").alias("passage_ids"), _stamp(F.col("v"), "created_at").alias("created_at")
-    )
-    return passages, exams
+    passages, exams = (root.select(F.posexplode(_nested(F.col("root"), name)).alias("ord", "v")) for name in ("passages", "exam_sets"))
+    return _passages(passages), _exams(exams)
 
 
-def broken(root: Column) -> Column:
-    """Whether a root (VARIANT, null for broken JSON) is no library, at any level."""
+def _no_object(v: Column) -> Column:
+    return ~_kind(v).startswith("OBJECT")
+
+
+def _no_list(v: Column, name: str) -> Column:
+    return ~(_kind(v, f"$.{name}").startswith("ARRAY") | _kind(v, f"$.{name}").isin("", "VOID"))
 
-    def no_object(v: Column) -> Column:
-        return ~_kind(v).startswith("OBJECT")
 
-    def no_list(v: Column, name: str) -> Column:
-        return ~(_kind(v, f"$.{name}").startswith("ARRAY") | _kind(v, f"$.{name}").isin("", "VOID"))
+def _bad_question(q: Column) -> Column:
+    return _no_object(q) | _no_list(q, "choices")
 
-    def bad_question(q: Column) -> Column:
-        return no_object(q) | no_list(q, "choices")
 
-    def bad_passage(p: Column) -> Column:
-        pages = F.exists(_nested(p, "source_pages"), lambda n: _whole(n).try_cast("int").isNull())
-        return no_object(p) | no_list(p, "tags") | no_list(p, "source_pages") | pages | no_list(p, "questions") | F.exists(_nested(p, "questions"), bad_question)
+def _bad_passage(p: Column) -> Column:
+    pages = F.exists(_nested(p, "source_pages"), lambda n: _whole(n).try_cast("int").isNull())
+    return _no_object(p) | _no_list(p, "tags") | _no_list(p, "source_pages") | pages | _no_list(p, "questions") | F.exists(_nested(p, "questions"), _bad_question)
 
+
+def _bad_exam(e: Column) -> Column:
+    return _no_object(e) | _no_list(e, "passage_ids")
+
+
+def broken(root: Column) -> Column:
+    """Whether a root (VARIANT, null for broken JSON) is no library, at any level."""
     lists = [~(_kind(root, f"$.{name}").startswith("ARRAY") | (_kind(root, f"$.{name}") == "")) for name in ("passages", "exam_sets")]
-    exams = F.exists(_nested(root, "exam_sets"), lambda e: no_object(e) | no_list(e, "passage_ids"))
-    return root.isNull() | no_object(root) | lists[0] | lists[1] | F.exists(_nested(root, "passages"), bad_passage) | exams
+    exams = F.exists(_nested(root, "exam_sets"), _bad_exam)
+    return root.isNull() | _no_object(root) | lists[0] | lists[1] | F.exists(_nested(root, "passages"), _bad_passage) | exams
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """passages and exam sets of a file; BrokenLibrary if it isn't one. Missing ids are drawn anew at each evaluation: write the frames before using them twice."""
-    value = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("root"))
-    found = value.select(broken(F.col("root")).alias("broken")).collect()
-    if len(found) != 1 or found[0]["broken"]:
-        raise BrokenLibrary(f"{path} is no library")
-    return decode(value)
+    """passages and exam sets of a file; BrokenLibrary if it isn't one. Missing ids are drawn anew at each evaluation: write the frames before using them twice.
+
+    An entry must fit in a VARIANT; one that doesn't is an error of its own, as size breaks no library.
+    """
+    store, at = _store(spark, path)
+    if not store.exists(at):
+        raise FileNotFoundError(path)
+    if not store.getFileStatus(at).isFile():
+        raise BrokenLibrary(f"{path} is no file")
+    try:
+        root, entries = lists_of(spark, visible(spark, path), store.getFileStatus(at).getLen())
+    except BrokenJson as error:
+        raise BrokenLibrary(str(error)) from None
+    numbers = {}
+    for name in ("passages", "exam_sets"):
+        if not isinstance(root.get(name, []), list):
+            raise BrokenLibrary(f"{name} of {path} is no list")
+        numbers[name] = root[name][0] if name in root else -1
+    own = entries.withColumn("v", F.try_parse_json("json"))
+    v, of_list = F.col("v"), F.col("list")
+    bad = F.when(F.col("json").isNull(), "no JSON").when((of_list == numbers["passages"]) & v.isNotNull() & _bad_passage(v), "no passage").when((of_list == numbers["exam_sets"]) & v.isNotNull() & _bad_exam(v), "no exam set")
+    faults = own.select("list", "i", bad.alias("bad"), v.isNull().alias("large")).where("bad IS NOT NULL OR large").orderBy(F.col("bad").isNull(), "list", "i").limit(1).collect()
+    if faults and faults[0]["bad"]:
+        raise BrokenLibrary(f"{path}: entry {faults[0]['i']} of list {faults[0]['list']} is {faults[0]['bad']}")
+    if faults:
+        raise ValueError(f"{path}: entry {faults[0]['i']} of list {faults[0]['list']} is too large")
+    passages, exams = (own.where(of_list == number).select(F.col("i").alias("ord"), "v") for number in numbers.values())
+    return _passages(passages), _exams(exams)
 
 
 def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -141,41 +179,81 @@ def coded(rows: DataFrame) -> DataFrame:
     return rows.select("ord", F.to_json(F.struct(*(c for c in rows.columns if c != "ord")), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def encode(passages: DataFrame, exams: DataFrame) -> str:
-    """The library's JSON text, in order, nulls written."""
+def _printed(batches):
+    """Entries of a list in the root, indented by two, each with the comma before it and without its last bracket, which is the line separator."""
+    for batch in batches:
+        texts = [json.dumps(json.loads(x), ensure_ascii=False, indent=2).replace("\n", "\n    ") for x in batch.column("json").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([f",\n    {t[:-1]}" for t in texts], pa.string())], schema=LINES)
+
 
-    def listed(rows: DataFrame) -> list[dict]:
-        own = coded(rows)
-        size = own.agg(F.sum(F.octet_length("json")).alias("n")).collect()[0]["n"] or 0
-        if size > SAVE_BYTES:
-            raise ValueError(f"{size} bytes are too many for one file; write the frames as tables")
-        return [json.loads(r["json"]) for r in own.orderBy("ord").collect()]
+def _assembled(passages: DataFrame, exams: DataFrame, path: str) -> None:
+    """Write a library's one file. Lists are sorted and printed by tasks, into a folder beside it; then the bytes of their parts are put behind each other.
 
-    root = {"schema_version": schemas.SCHEMA_VERSION, "passages": listed(passages), "exam_sets": listed(exams)}
-    return json.dumps(root, ensure_ascii=False, indent=2)
+    One file has one writer, so that last step is a copy of streams through a small buffer; no row is held or decoded by it.
+    """
+    spark = passages.sparkSession
+    store, at = _store(spark, path)
+    beside, jvm, conf = f"{path}.{uuid.uuid4().hex}", spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        lists = {"passages": passages, "exam_sets": exams}
+        for name, rows in lists.items():
+            coded(rows).orderBy("ord").select("json").mapInArrow(_printed, "value string").write.option("lineSep", "}").text(f"{beside}/{name}")
+        store.setWriteChecksum(False)  # a file of checksums beside it would make other programs' changes look like damage
+        out = store.create(at, True)
+        try:
+            out.write(bytearray(f'{{\n  "schema_version": {schemas.SCHEMA_VERSION}'.encode()))
+            for name in lists:
+                found = [f for f in store.listStatus(_store(spark, f"{beside}/{name}")[1]) if f.getPath().getName().startswith("part-") and f.getLen()]
+                found.sort(key=lambda f: int(f.getPath().getName().split("-")[1]))
+                out.write(bytearray(f',\n  "{name}": ['.encode()))
+                for f in found:
+                    source = store.open(f.getPath())
+                    try:
+                        source.seek(int(f is found[0]))  # behind the comma that is before the first
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, BUFFER, False)
+                    finally:
+                        source.close()
+                out.write(bytearray(b"\n  ]" if found else b"]"))
+            out.write(bytearray(b"\n}"))
+        finally:
+            out.close()
+    finally:
+        store.setWriteChecksum(True)
+        store.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
 
 
 def export(passages: DataFrame, exams: DataFrame, path: str) -> None:
     """Write the library to a file, over what is there."""
-    _write(passages.sparkSession, path, encode(passages, exams))
+    _assembled(passages, exams, path)
 
 
 def save(passages: DataFrame, exams: DataFrame, path: str) -> None:
-    """Write beside the file and then take its place, so a reader sees the old library or the new."""
-    replace(passages.sparkSession, path, encode(passages, exams))
+    """Write beside the file and then take its place, so a reader sees the old library or the new, and after a failure the old one is there."""
+    spark = passages.sparkSession
+    try:
+        _assembled(passages, exams, f"{path}.tmp")
+        _renamed(spark, f"{path}.tmp", path)
+    finally:
+        store, beside = _store(spark, f"{path}.tmp")
+        store.delete(beside, False)
 
 
 def replace(spark: SparkSession, path: str, text: str, mode: str | None = None) -> None:
     """The file with that text, put there in one step; mode: access rights, where the store has them."""
     _write(spark, f"{path}.tmp", text)
-    store, at = _store(spark, path)
-    beside, jvm = _store(spark, f"{path}.tmp")[1], spark._jvm
     if mode:
-        store.setPermission(beside, jvm.org.apache.hadoop.fs.permission.FsPermission(mode))
+        store, beside = _store(spark, f"{path}.tmp")
+        store.setPermission(beside, spark._jvm.org.apache.hadoop.fs.permission.FsPermission(mode))
+    _renamed(spark, f"{path}.tmp", path)
+
+
+def _renamed(spark: SparkSession, path: str, to: str) -> None:
+    """Take the place of a file in one step."""
+    jvm, (store, at) = spark._jvm, _store(spark, to)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(store.getUri().toString()), spark.sparkContext._jsc.hadoopConfiguration())
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-    context.rename(beside, at, overwrite)
+    context.rename(_store(spark, path)[1], at, overwrite)
 
 
 def _write(spark: SparkSession, path: str, text: str) -> None:

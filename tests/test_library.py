@@ -1,11 +1,14 @@
 """Library files, edits, merging and exams on small libraries."""
 
 import json
+import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectorium import schemas
 from lectorium.functions import errors
 from lectorium.operators import browse, edits, exams
 from lectorium.sources import external, library_file, settings
@@ -212,3 +215,95 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "PushedFilters:[In(passage_type,[x,y])" in plan(passage_types={"x", "y"}) and "PushedFilters:[Or(EqualTo(passage_type,),IsNull(passage_type))" in plan(passage_types={""})
     assert "PushedFilters:[In(difficulty,[1,3])" in plan(difficulties={1, 3}) and "PushedFilters:[Or(EqualTo(difficulty,3),IsNull(difficulty))" in plan(difficulties={None, 3})
     assert "In(question_type,[k,l])" in plan(question_types={"k", "l"})
+
+
+def reference_rows(text):
+    """What Python's decoder makes of a library's lists."""
+    root = json.loads(text)
+    level = lambda d: None if d is None or isinstance(d, float) and not math.isfinite(d) else max(1, min(5, int(d)))
+    return [(i, p["id"], p.get("title", ""), level(p.get("difficulty")), [q["stem"] for q in p.get("questions", [])]) for i, p in enumerate(root.get("passages", []))], [(i, e["id"], e.get("passage_ids", [])) for i, e in enumerate(root.get("exam_sets", []))]
+
+
+def read_rows(spark, path):
+    passages, sets = library_file.read(spark, path)
+    return [(r["ord"], r["id"], r["title"], r["difficulty"], [q["stem"] for q in r["questions"]]) for r in passages.orderBy("ord").collect()], [(r["ord"], r["id"], r["passage_ids"]) for r in sets.orderBy("ord").collect()]
+
+
+def nasty_library(rng):
+    bits = ['"', "\\", "{", "}", "[", "]", ",", ":", "\n", "é", "日本", "\U0001f600", "plain words ", "\\\\", '\\"', "},{", '"passages": [']
+    text = lambda: "".join(rng.choices(bits, k=rng.randrange(0, 25)))
+    passages = [{"id": f"p{i}", "title": text(), "text": text(), "difficulty": rng.choice([None, 3, 9]), "questions": [{"id": "q", "stem": text()} for _ in range(rng.randrange(3))]} for i in range(rng.randrange(0, 60))]
+    root = {"before": {text(): [text(), [1, {}]]}, "schema_version": 1, "passages": passages, "other": [[], {}, text()], "exam_sets": [{"id": f"e{i}", "passage_ids": [text()] * i} for i in range(rng.randrange(0, 5))], "end": text()}
+    return json.dumps(root, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2])) + rng.choice(["", "\n", "  \n\n"])
+
+
+@pytest.mark.parametrize("split", [97, 1009, 1 << 20])
+def test_splits_anywhere(spark, tmp_path, split):
+    """Bounds of splits within strings, escapes, brackets and characters change nothing."""
+    rng = random.Random(split)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        for _ in range(1 if split < 100 else 3):
+            text = nasty_library(rng)
+            assert read_rows(spark, written(tmp_path, text)) == reference_rows(text)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("name", ["_under.json", ".dot.json", "lib[1].json", "{a,b}*?.json", "k=1.json"])
+def test_any_name(spark, tmp_path, name):
+    path = tmp_path / name
+    path.write_text(library())
+    assert [r["id"] for r in library_file.load(spark, str(path))[0].collect()] == ["p"]
+    library_file.save(*library_file.load(spark, str(path)), str(path))
+    assert [r["id"] for r in library_file.read(spark, str(path))[1].collect()] == ["e"]
+
+
+def test_loose_values(spark, tmp_path):
+    """Repeated keys: the last counts; NaN and Infinity are no level."""
+    entry = '{"id": "a", "id": "b", "difficulty": %s, "title": "\\ud800x", "questions": [{"id": "q", "stem": "s", "stem": "t"}]}'
+    text = '{"passages": 3, "exam_sets": [], "passages": [%s]}' % ",".join(entry % d for d in ("NaN", "Infinity", "-Infinity", "1e400", "2", '"4"'))
+    passages, _ = library_file.read(spark, written(tmp_path, text))
+    rows = passages.orderBy("ord").collect()
+    assert [r["difficulty"] for r in rows] == [None, None, None, None, 2, 4]
+    assert {(r["id"], r["title"], r["questions"][0]["stem"]) for r in rows} == {("b", "?x", "t")}
+
+
+@pytest.mark.parametrize("broken", ["{}x", '{"passages": [{},]}', '{"passages": [,{}]}', '{"passages": [{} {}]}', '{"passages": [{}}', '{"passages": [{"a": 1]]}', '{"other": [01]}', '{"passages": []', '{"a": "}', '{"passages": [{"id": "a\nb"}]}', "﻿{}", "{}{}", '{"passages": [{}]}]'])
+def test_broken_structure(spark, tmp_path, broken):
+    with pytest.raises(library_file.BrokenLibrary):
+        library_file.read(spark, written(tmp_path, broken))
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    path = tmp_path / "library.json"
+    path.write_bytes(b'{"passages": [{"id": "a\xff"}]}')
+    assert library_file.load(spark, str(path))[0].count() == 0 and (tmp_path / "library.corrupt.json").read_bytes() == path.read_bytes()
+
+
+def test_written_as_python_writes(spark, tmp_path):
+    """The same bytes, in order, from many tasks; a failing task leaves the old file and nothing beside it."""
+    passages, sets = library_file.read(spark, written(tmp_path, {"passages": [{"id": f"p{i}", "title": "제목\n", "created_at": "c", "updated_at": "u"} for i in range(200)], "exam_sets": []}))
+    path = str(tmp_path / "saved.json")
+    library_file.save(passages.repartition(7), sets, path)
+    text = open(path).read()
+    assert text == json.dumps(json.loads(text), ensure_ascii=False, indent=2) and [p["id"] for p in json.loads(text)["passages"]] == [f"p{i}" for i in range(200)]
+    failing = passages.withColumn("title", F.when(F.col("ord") == 150, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="lost"):
+        library_file.save(failing, sets, path)
+    assert open(path).read() == text and sorted(os.listdir(tmp_path)) == ["library.json", "saved.json"]
+
+
+def test_large_library(spark, tmp_path):
+    """Beyond what one VARIANT holds: 140 MB, in many tasks, there and back."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), (i * F.col("n") % 9973).cast("string"))), ' "} ')
+    rows = spark.range(7000).withColumnRenamed("id", "n").select(F.col("n").alias("ord"), F.concat(F.lit("p"), "n").alias("id"), F.lit("t").alias("title"), words.alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) if f.name == "difficulty" else F.lit("").alias(f.name) if f.dataType.simpleString() == "string" else F.array().cast(f.dataType).alias(f.name) for f in schemas.passages() if f.name not in ("ord", "id", "title", "text")))
+    path = str(tmp_path / "large.json")
+    library_file.save(rows, library_file.empty(spark)[1], path)
+    assert os.path.getsize(path) > 128 << 20
+    again, _ = library_file.read(spark, path)
+    assert again.rdd.getNumPartitions() > 1
+    same = again.join(rows.select("ord", F.col("text").alias("was")), "ord").where(F.col("text") == F.col("was"))
+    assert again.count() == same.count() == 7000
