@@ -145,6 +145,72 @@ def test_edits(spark, tmp_path):
     assert edits.delete(sets, "e").count() == 0
 
 
+class Clock:
+    """Time that passes only in rest()."""
+
+    def __init__(self, at):
+        self.at = at
+
+    def __call__(self):
+        return self.at
+
+    def rest(self, seconds):
+        self.at += seconds
+
+
+@pytest.mark.parametrize("lanes", [1, 4, 16])
+def test_slots_of_all_lanes_keep_the_rate(lanes):
+    """No two calls of any lanes are closer than the rate allows, lanes that begin late or again included."""
+    begun, rng = [], random.Random(lanes)
+    for lane in range(lanes):
+        clock = Clock(1000 + rng.random() * 20)
+        for _ in range(2):
+            slots = external.Slots(30, lane, lanes, clock, clock.rest)
+            for _ in range(10):
+                slots.next()
+                begun.append(clock.at)
+                clock.rest(rng.random() * 3 * lanes)
+    begun.sort()
+    assert min(b - a for a, b in zip(begun, begun[1:])) > 1.999 and len(begun) == 20 * lanes
+
+
+def test_measured_rate(spark):
+    """At several numbers of tasks, calls begin at most so often on the clock on the wall."""
+    rows = spark.range(12).selectExpr("id", "'p' AS prompt")
+    for lanes in (1, 4):
+        began = sorted(float(r["answer"]) for r in external.answers(rows, lambda: lambda prompt: repr(__import__("time").time()), 240, lanes=lanes).collect())
+        assert all(b - a > 0.19 for a, b in zip(began, began[1:])) and len(began) == 12
+
+
+def test_ledger_asks_once(spark, tmp_path):
+    """A task that fails after its calls and is run again, and a second run, take what is noted; one that was broken off while it held a lease is asked again."""
+    folder, log = str(tmp_path / "ledger"), tmp_path / "calls"
+    log.mkdir()
+
+    def client():
+        import uuid
+
+        def call(prompt, **options):
+            (log / uuid.uuid4().hex).write_text(prompt)
+            return prompt.upper()
+
+        return call
+
+    rows = spark.range(20).selectExpr("id", "concat('p', id % 10) AS prompt").unionByName(spark.range(5).selectExpr("id", "concat('p', id) AS prompt"))
+    first = external.answers(rows, client, 0, ledger=folder)
+    with pytest.raises(Exception, match="lost"):
+        first.withColumn("x", F.when(F.col("id") == "19", F.raise_error(F.lit("lost"))).otherwise(F.lit(1).cast("void"))).collect()
+    again = {r["id"]: r["answer"] for r in external.answers(rows, client, 0, ledger=f"file://{folder}").collect()}
+    assert again == {str(i): f"P{i % 10}" for i in range(20)} and len(os.listdir(log)) == 20
+    with pytest.raises(ValueError):
+        external.answers(rows, client, 0, ledger="hdfs://somewhere/x")
+    clock = Clock(0.0)
+    ledger = external.FolderLedger(str(tmp_path / "other"), 5, lambda: __import__("time").time() + clock.at, clock.rest)
+    assert ledger.take("ab") is None and ledger.take("ab") is None and clock.at > 4  # the first one's lease ran out
+    ledger.note("ab", ["x", None, 1])
+    assert ledger.take("ab") == ["x", None, 1] and sorted(os.listdir(tmp_path / "other" / "ab")) == ["ab.json"]
+
+
 def test_calls(spark):
     class Busy(Exception):
         code = 429
@@ -156,11 +222,9 @@ def test_calls(spark):
             raise left.pop()
         return prompt.upper()
 
-    slept = []
-    paced = external.Paced(60, clock=lambda: 0.0, sleep=slept.append)
-    assert external.called(call, "x", paced, sleep=waits.append) == ("X", None) and waits == [2.0, 4.0] and slept == [1.0, 2.0]
-    free = external.Paced(0, clock=lambda: 0.0, sleep=slept.append)
-    assert [free.wait() for _ in range(3)] and len(slept) == 2
+    paced, free = external.Slots(60, now=Clock(100.0), rest=lambda s: None), external.Slots(0)
+    paced.rest = paced.now.rest
+    assert external.called(call, "x", paced, sleep=waits.append) == ("X", None) and waits == [2.0, 4.0] and paced.now() == 102.0
     left += [Busy() for _ in range(9)]
     assert external.called(call, "x", free, sleep=lambda s: None) == (None, "rate_limited") and len(left) == 5
 
