@@ -81,15 +81,17 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """
     rows = messages.select("message", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").cast("double").alias("sum"), F.col("score").isNotNull().cast("long").alias("scores"), "tree")
     now = stored(rows.withColumn("sum", F.coalesce("sum", F.lit(0.0))), "jumps")
+    done, open_ = now.where("up IS NULL"), now.where("up IS NOT NULL")
     rounds, used, total = [], [now], now.count()
-    while now.where("up IS NOT NULL").limit(1).count() and 1 << len(rounds) < 2 * total:
-        rounds.append(now.select(F.col("message").alias("at"), "up"))
-        above = now.select(F.col("message").alias("up"), *(F.col(c).alias(f"{c}_above") for c in ("up", "n", "sum", "scores")))
+    while 1 << len(rounds) < 2 * total and not open_.isEmpty():  # only messages that have not reached their root are joined again
+        rounds.append(open_.select(F.col("message").alias("at"), "up"))
+        above = done.unionByName(open_).select(F.col("message").alias("up"), *(F.col(c).alias(f"{c}_above") for c in ("up", "n", "sum", "scores")))
         both = [(F.col(c) + F.coalesce(f"{c}_above", F.lit(0))).alias(c) for c in ("n", "sum", "scores")]
-        now = stored(now.join(above, "up", "left").select("message", F.col("up_above").alias("up"), *both, "tree"), "jumps")
+        now = stored(open_.join(above, "up", "left").select("message", F.col("up_above").alias("up"), *both, "tree"), "jumps")
+        done, open_ = done.unionByName(now.where("up IS NULL")), now.where("up IS NOT NULL")
         used.append(now)
     replied = messages.where("parent IS NOT NULL").select(F.col("parent").alias("message")).distinct()
-    leaves = now.where("up IS NULL").join(replied, "message", "left_anti")  # what still has an ancestor is in a circle or below one
+    leaves = done.join(replied, "message", "left_anti")  # what still has an ancestor is in a circle or below one
     mean = F.when(F.col("scores") > 0, F.col("sum") / F.col("scores"))
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(mean.desc_nulls_last(), "message"))).where(F.col("rank") <= best)
     out = ranked.select("tree", "rank", F.col("message").alias("leaf"), F.col("message").alias("at"), F.col("n").alias("left"), (F.col("n") - 1).alias("place"))
