@@ -122,7 +122,7 @@ def route(nodes: list[tuple[int, int, int, int]], prints: np.ndarray, radius: in
     return (np.concatenate(leaves), np.concatenate(rows)) if rows else (np.zeros(0, np.int32), np.zeros(0, int))
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Give linked entries, and all that had their labels, the smallest label. label[x] <= x is a forest."""
     while len(i):
         a, b = label[i], label[j]
@@ -151,7 +151,7 @@ def forest(prints: np.ndarray, radius: int) -> np.ndarray:
         for a in range(0, len(own), step):
             i, j = np.nonzero(np.bitwise_count(own[a : a + step, None] ^ own[None, a:]) <= radius)
             apart = i < j
-            _merge(label, index[i[apart] + a], index[j[apart] + a])
+            merge(label, index[i[apart] + a], index[j[apart] + a])
     while (label[label] != label).any():
         label = label[label]
     return label

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from lectorium.llm import licenses, shingles, tokenfile
@@ -39,8 +40,18 @@ def test_pipeline_links_near_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()} == set(label)
 
 
-def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
-    """A family of texts with one long passage, near copies among them: the classes are those of all pairs, and few pairs are compared."""
+def classes_by_pairs(sets):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_texts_that_share_a_passage(spark, monkeypatch):
+    """A family of texts with one long passage, near copies among them: the classes are those of all pairs, and no table holds pairs."""
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(130)]
     rows = [passage + [f"w{rng.randrange(10**6)}" for _ in range(70)] for _ in range(150)]
@@ -48,25 +59,57 @@ def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
         copy = list(rows[at])
         copy[rng.randrange(140, 190)] = "changed"
         rows += [copy, copy[:-3]]
+    check_classes(spark, monkeypatch, rows)
+
+
+@pytest.mark.parametrize("block", [64, shingles.BLOCK])
+def test_near_copies_about_the_threshold(spark, monkeypatch, block):
+    """1,200 near copies whose similarities lie on both sides of 0.8, in one block or in many: the classes of all pairs, and at most 10 rows a node."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for _ in range(1200):
+        copy = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 3, 4])):
+            copy[at] = f"x{rng.randrange(3000)}"
+        rows.append(copy)
+    monkeypatch.setattr(shingles.links, "__defaults__", (shingles.SIMILARITY, block, shingles.ENTRIES))
+    check_classes(spark, monkeypatch, rows, 10 if block > 64 else 40)
+
+
+def check_classes(spark, monkeypatch, rows, most=10):
     rows = [" ".join(r) for r in rows]
-    sets = [grams(t) for t in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
-                a, b = sorted((label[i], label[j]))
-                label = [a if x == b else x for x in label]
-    many = []
-    compare = shingles.compared
+    label = classes_by_pairs([grams(t) for t in rows])
+    sizes = {}
+    keep = shingles.stored
+
+    def counting(df, what, *more):
+        out = keep(df, what, *more)
+        sizes[what] = out.count()
+        return out
+
+    monkeypatch.setattr(shingles, "stored", counting)
+    find = shingles.links
 
-    def counting(pairs, sets):
-        many.append(pairs.count())
-        return compare(pairs, sets)
+    def counted(*given, **named):
+        out = find(*given, **named)
+        sizes["links"] = out.count()
+        return out
 
-    monkeypatch.setattr(shingles, "compared", counting)
+    monkeypatch.setattr(shingles, "links", counted)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in shingles.classes(docs).collect()} == dict(enumerate(label))
-    assert sum(many) < 2000 < len(rows) * (len(rows) - 1) // 2 and len(set(label)) < len(rows)
+    assert max(sizes.values()) <= most * len(rows) and 1 < len(set(label)) < len(rows)
+
+
+def test_common_entries():
+    """Frequent and rare ones, sets that are empty, against Python's sets."""
+    rng = np.random.default_rng(3)
+    for n, m, names in ((30, 40, 20), (5, 7, 3000), (60, 60, 200)):
+        xs, ys = ([np.unique(rng.zipf(1.2, rng.integers(0, 60)) % names).astype(np.uint64) for _ in range(k)] for k in (n, m))
+        flat = lambda sets: (np.concatenate(sets), np.array([len(s) for s in sets]))
+        found = shingles.common(*flat(xs), *flat(ys))
+        assert found.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in ys] for x in xs]
 
 
 def test_pairs_are_replaced_until_a_rule_does_not_pay():
