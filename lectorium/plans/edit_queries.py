@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import arrays, text
 from ..operators import browse, edits
+from ..operators.log import RECORD, EditLog
 from ..sources import external, library_file
 from ..sources.store import shared_folder
 from . import adapters
@@ -166,15 +169,20 @@ def encode_exams(spark, sf_dir):
     return library_file.coded(rows.withColumn("created_at", F.when(F.col("id") % 2 == 1, F.col("created_at"))))
 
 
-def _filed(spark, sf_dir):
-    """documents and customers' exams, saved as a library file in the shared folder and read from it."""
+def _library(spark, sf_dir):
+    """documents and customers' exams with all columns of a library, ids as texts."""
     docs = adapters.passages_of_documents(spark, sf_dir).withColumnRenamed("id", "_id")
     lists = {f.name: F.array().cast(f.dataType) for f in schemas.passages() if f.dataType.simpleString().startswith("array")}
     texts = {f.name: F.lit("") for f in schemas.passages() if f.name not in docs.columns and f.name not in lists}
     passages = docs.withColumns(texts | lists | {"id": F.col("_id").cast("string")}).select(*(f.name for f in schemas.passages()))
     exams = adapters.exam_sets_of_customers(spark, sf_dir).withColumns({"id": F.col("id").cast("string"), "passage_ids": F.col("passage_ids").cast("array<string>")})
+    return passages, exams
+
+
+def _filed(spark, sf_dir):
+    """The library, saved as a file in the shared folder and read from it."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/library.json"
-    library_file.save(passages, exams, path)
+    library_file.save(*_library(spark, sf_dir), path)
     return library_file.load(spark, path)
 
 
@@ -189,6 +197,42 @@ def saved_exams(spark, sf_dir):
     return rows.select("ord", "id", "title", F.array_join("passage_ids", ",").alias("ids"))
 
 
+def _logged(spark, sf_dir):
+    """The library after two commits: rates and deletions from labels, and edits of exams."""
+    edits_log = EditLog(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    edits_log.create(*_library(spark, sf_dir))
+    kind = T.StructType.fromDDL(f"seq int, {RECORD}")
+    filled = lambda frame, **given: frame.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind))
+    labels = adapters.table(spark, sf_dir, "labels")
+    level = F.when(F.col("quality") == 1, 9).otherwise(F.lit(None))
+    rated = filled(labels, seq=F.lit(0), of=F.lit("passages"), id=F.col("doc_id"), op=F.when(F.col("toxic") == 1, "delete").otherwise("rate"), level=level)
+    edits_log.append(rated, 0)
+    exams, at = adapters.exam_sets_of_customers(spark, sf_dir).select("id"), F.col("id") % 3
+    op = F.when(at == 0, "remove").when(at == 1, "move").otherwise("rename")
+    edits_log.append(filled(exams, seq=F.lit(0), of=F.lit("exams"), id=F.col("id"), op=op, rows=F.array(F.lit(0)), step=F.lit(1), values=F.create_map(F.lit("title"), F.lit("renamed"))), 1)
+    return edits_log.state()
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id::VARCHAR AS id, lang AS passage_type, CASE WHEN quality = 1 THEN 5 END AS difficulty, CASE WHEN quality IS NOT NULL THEN 'manual' ELSE '' END AS difficulty_source, md5(text) AS text
+FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0"""
+)
+def logged_passages(spark, sf_dir):
+    rows = _logged(spark, sf_dir)[0]
+    first = rows.select("key").repartitionByRange("key").sortWithinPartitions("key").withColumn("p", F.spark_partition_id())
+    before = first.groupBy("p").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
+    places = first.join(before, "p").withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("key")) + F.col("before"))
+    return rows.join(places.select("key", "n"), "key").select("n", "id", "passage_type", "difficulty", "difficulty_source", F.md5("text").alias("text"))
+
+
+@query(
+    f"""WITH {E} SELECT id::VARCHAR AS id, CASE WHEN id % 3 = 2 THEN 'renamed' ELSE 'exam ' || id END AS title,
+list_aggregate(CASE WHEN id % 3 = 0 THEN ids[2:] WHEN id % 3 = 1 AND len(ids) > 1 THEN [ids[2], ids[1]] || ids[3:] ELSE ids END, 'string_agg', ',') AS ids FROM e"""
+)
+def logged_exams(spark, sf_dir):
+    return _exams(_logged(spark, sf_dir)[1])
+
+
 class _Missing(Exception):
     code = 404
 
