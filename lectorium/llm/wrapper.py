@@ -13,7 +13,8 @@ after going down from the root for as long as one child has REGION of the slots'
 on the page), stopping at a heading.
 Slots that are links for the most part are no content outside an article. Zones of other use go whole: elements and roles
 for it (nav, footer, aside, form ..), and names of it (ads, menus, comments ..). Names that articles use too (related,
-discussion, form ..) count only where the template finds the zone's text constant or linked for the most part.
+discussion, form ..) count only where the template finds the zone's text constant or linked for the most part; so do, inside an
+article of a host with a template, plain names of what an article may be about (search, login, menu ..: TOPICS).
 Headings in an article may be the same everywhere ("Introduction"): such a one stays if content follows it. An article that
 is constant for the most part is a copied article and no template.
 
@@ -70,6 +71,7 @@ OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsored promo nav navbar navigation menu menubar sidebar breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr "
     "notice notification alert popup modal overlay toast comment comments commentlist replies respond disqus share sharing social subscribe newsletter signup login search pager pagination toolbar".split()
 )
+TOPICS = frozenset("search pagination navigation login sharing menu social modal overlay".split())  # of OTHER_NAMES, what a technical article may have a section on
 SHARED_NAMES = frozenset("header banner aside reply discussion related recommended subscription promotion sponsor form widget skip".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -98,7 +100,7 @@ class Node:
 
 
 def zone_of(names: str) -> int:
-    """Of classes and ids: 2 if they name another use, 1 if the name is one that articles use too, 0 else."""
+    """Of classes and ids: 2 if they name another use, 3 if that is what an article may have a section on, 1 if the name is one that articles use too, 0 else."""
     most = 0
     for name in names.split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
@@ -106,9 +108,11 @@ def zone_of(names: str) -> int:
             continue
         while len(words) > 1 and words[-1] in LAYOUT:
             words.pop()
-        if words[-1] in OTHER_NAMES or words[-1] in SHARED_NAMES and not OTHER_NAMES.isdisjoint(words):
+        if len(words) == 1 and words[0] in TOPICS:
+            most = 3
+        elif words[-1] in OTHER_NAMES or words[-1] in SHARED_NAMES and not OTHER_NAMES.isdisjoint(words):
             return 2
-        if words[-1] in SHARED_NAMES or words[0] in ("related", "recommended") and len(words) > 1:
+        elif not most and words[-1] in SHARED_NAMES or not most and words[0] in ("related", "recommended") and len(words) > 1:
             most = 1
     return most
 
@@ -123,8 +127,9 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
         if named.strip():
             name = f"{tag}.{re.sub(r'[0-9]+', '#', named).strip()}"
             if tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
-                zone = max(zone, zone_of(named))
-        if found.get("role", "").lower() in OTHER_ROLES or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style", "")) or "hidden" in attributes.lower().split():
+                said = zone_of(named)
+                zone = max(zone, said if said < 3 else 2) if said < 3 or zone or not parent.article else 3
+        if found.get("role", "").lower() in OTHER_ROLES or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style", "")) or "hidden" in found or "hidden" in ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split():
             zone = 2
     return Node(tag, f"{name}!{zone}" if zone else name, zone, parent)
 
@@ -394,8 +399,8 @@ def verdicts(template: list) -> dict:
         out["all"] = node[A] + sum(c["all"] for c in out["c"])
         out["linked"] = node[L] + sum(c["linked"] for c in out["c"])
         out["fixed"] = node[A] * constant + sum(c["fixed"] for c in out["c"])
-        zone = int(node[K][-1]) if node[K][-2:] in ("!1", "!2") else 0
-        out["zone"] = zone == 2 or zone == 1 and (out["linked"] > LINKS * out["all"] or 2 * out["fixed"] > out["all"])
+        zone = int(node[K][-1]) if node[K][-2:] in ("!1", "!2", "!3") else 0
+        out["zone"] = zone == 2 or zone == 3 and template[N] < CONSTANT or zone in (1, 3) and (out["linked"] > LINKS * out["all"] or 2 * out["fixed"] > out["all"])
         own = 0 if constant or out["links"] else node[A] - node[L]
         out["letters"] = 0 if out["zone"] else own + sum(c["letters"] for c in out["c"])
         if not copied and node[K].split(".")[0] in ("article", "main") and 2 * out["fixed"] > out["all"]:
@@ -414,18 +419,18 @@ def _judged(root: Node, page: list, template: list, judgement: dict) -> None:
         node.like = said
         node.constant = said["constant"] and own[T] == other[T]
         node.links = said["links"]
-        if node.zone == 1:
+        if node.zone in (1, 3):
             node.zone = 2 if said["zone"] else 0
         stack += [(node.kids[i], own[C][i], other[C][j], said["c"][j]) for i, j in align(own[C], other[C], known)]
 
 
 def _alone(root: Node, page: list) -> None:
-    """Shared names of nodes that the template lacks: links alone decide."""
-    stack = [(root, page)]
+    """Shared names, and topics' names, of nodes that the template lacks: links alone decide; where there is no template, topics go."""
+    stack, none = [(root, page)], root.like is None or root.like["n"] < CONSTANT
     while stack:
         node, own = stack.pop()
-        if node.like is None and node.zone == 1:
-            node.zone = 2 if verdicts(own)["linked"] > LINKS * sum(_letters(own)) else 0
+        if node.like is None and node.zone in (1, 3):
+            node.zone = 2 if node.zone == 3 and none or verdicts(own)["linked"] > LINKS * sum(_letters(own)) else 0
         stack += zip(node.kids, own[C], strict=True)
 
 

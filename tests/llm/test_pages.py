@@ -148,6 +148,33 @@ def test_names_that_articles_use_too_need_the_template():
     assert wrapper.extract("<body><div class='post-form'><p>only this</p></div></body>", None) == "only this"
 
 
+@pytest.mark.parametrize("name", ["search", "pagination", "navigation", "login", "sharing", "menu", "social", "modal", "overlay"])
+def test_topics_of_articles(name):
+    """A section of an article that a host's pages fill each in its own way stays, whatever it is called; comments, adverts and forms go, and so does a box that is the same everywhere."""
+    prose = lambda i, what: f"About {what} {i}: " + " ".join(f"w{i * 31 + k}" for k in range(20)) + "."
+    page = lambda i: (
+        f"<html><body><div class=menu><a href=x>Home</a></div><article><h1>Title {i}</h1><p>{prose(i, 'it')}</p><section id={name}><p>{prose(i, name)}</p></section>"
+        f"<div class=comments><p>{prose(i, 'what I think')}</p></div><div class=ad>{prose(i, 'a sale')}</div><form>{i} mail</form></article><div class={name}>{prose(i, 'outside')}</div></body></html>"
+    )
+    template = None
+    for i in range(10):
+        one = wrapper.shape(wrapper.parse(page(i)))
+        template = one if template is None else wrapper.pruned(wrapper.fold(template, one))
+    for i in range(10):
+        assert wrapper.extract(page(i), template) == f"Title {i} {prose(i, 'it')} {prose(i, name)}"
+    boxed = [page(i).replace(prose(i, name), "The same words on every page of this host.") for i in range(10)]
+    template = None
+    for text in boxed:
+        one = wrapper.shape(wrapper.parse(text))
+        template = one if template is None else wrapper.pruned(wrapper.fold(template, one))
+    assert wrapper.extract(boxed[3], template) == f"Title 3 {prose(3, 'it')}"
+
+
+@pytest.mark.parametrize(("attribute", "stays"), [('title="a hidden gem"', True), ('data-note="not hidden at all"', True), ("data-hidden", True), ("hidden", False), ('hidden=""', False), ("class=x hidden/", False), ('HIDDEN title="x"', False)])
+def test_hidden_is_an_attribute(attribute, stays):
+    assert wrapper.extract(f"<article><p>one</p><p {attribute}>two</p></article>", None) == ("one two" if stays else "one")
+
+
 def test_copies_are_no_template():
     """Pages of a host that are near copies keep their text."""
     r = random.Random(2)
