@@ -3,7 +3,7 @@
 A table of shards is the file format; Spark writes and reads it, so it can lie in any store. Documents are in ascending
 doc_id order within and across shards (spread by range). A shard holds whole documents of about SHARD ids. In it the most
 frequent pair of neighbouring symbols is replaced by a new nonterminal, again and again, until no pair occurs MIN_COUNT
-times or the nonterminals of two bytes run out. Each round over the shard replaces all pairs down to 1 / SPREAD of the
+times. Where the nonterminals of two bytes run out before that, it is also done with four, and what has fewer bytes is kept. Each round over the shard replaces all pairs down to 1 / SPREAD of the
 highest count; where two overlap the more frequent one goes first, so the result is that of one after the other. No rule
 spans two documents. Stored are the rules, the length that each expands to, each document's place among the symbols and
 its number of ids: a document, or a range of its ids, is decoded from its own symbols alone.
@@ -83,15 +83,17 @@ def _one_at_a_time(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return take
 
 
-def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds: int | None = None, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Symbols after replacement, and the rules as rows (left, right); NO_PAIR in symbols parts what no rule may span.
 
     Counts are kept from round to round: a pair of older symbols only loses occurrences, and pairs of a new nonterminal all
     come up in its own round, so a pair found below least is never needed again. A pair that keeps fewer than least
-    occurrences beside the better ones of its round waits for the next.
+    occurrences beside the better ones of its round waits for the next. Symbols are of two bytes, or of four where they must be or wide says so.
     """
-    least = least or MIN_COUNT[first >= 1 << 16]
-    limit = (1 << 16) - 1 - first if first < 1 << 16 else len(symbols) // 2
+    wide |= first >= 1 << 16
+    least = least or MIN_COUNT[wide]
+    limit = len(symbols) // 2 if wide else (1 << 16) - 1 - first
+    limit = max(limit, (1 << 16) - first) if wide else limit  # so that marks don't fit in two bytes
     mark = first + limit
     symbol, half, code = (np.uint16, 16, np.uint32) if mark < 1 << 16 else (np.uint32, 32, np.uint64)
     row = np.where(symbols == NO_PAIR, np.uint32(mark), symbols).astype(symbol)
@@ -187,6 +189,10 @@ def write_shard(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray)
     row = np.full(len(ids) + n, NO_PAIR, np.uint32)  # a mark after each document
     row[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
     symbols, rules = compress(row, first)
+    if first + len(rules) == (1 << 16) - 1:  # two bytes are used up, so four may give fewer bytes in all
+        others = compress(row, first, wide=True)
+        if 4 * len(others[0]) + RULES.itemsize * len(others[1]) < 2 * len(symbols) + RULES.itemsize * len(rules):
+            symbols, rules = others
     marks = np.flatnonzero(symbols == NO_PAIR)
     docs = np.zeros(n, DOCS)
     docs["doc_id"], docs["known"] = [d or 0 for d in doc_ids], [d is not None for d in doc_ids]

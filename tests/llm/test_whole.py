@@ -149,3 +149,20 @@ def test_every_copy_of_a_license_has_a_row():
                     words += copy + [f"b{rng.randrange(9999)}" for _ in range(gap)]
                 got = [m for m in licenses.matches([" ".join(words)], templates)[0] if m[2] == name]
                 assert [m[:2] for m in got] == spans, (name, shift, gap)
+
+
+def test_a_shard_that_needs_more_rules_than_two_bytes_have():
+    """Repeated log lines: four bytes a symbol are taken where they are fewer bytes in all, and every document comes back."""
+    rng = np.random.default_rng(5)
+    lines = [rng.integers(0, 50_000, 22).astype(np.uint32) for _ in range(1000)]
+    docs = [np.concatenate([lines[k] for k in rng.integers(0, len(lines), 60)]) for _ in range(800)]
+    row = np.concatenate([x for d in docs for x in (d, [tokenfile.NO_PAIR])]).astype(np.uint32)
+    narrow, rules = tokenfile.compress(row, 50_257)
+    assert len(rules) == (1 << 16) - 1 - 50_257
+    payload = tokenfile.write_shard(list(range(len(docs))), np.concatenate([*docs, [50_256]]).astype(np.uint32), np.r_[0, np.cumsum([len(d) for d in docs])[:-1], sum(map(len, docs)) + 1])
+    shard = tokenfile.Shard(payload)
+    assert shard.symbols.dtype.itemsize == 4 and len(payload) < 0.7 * (2 * len(narrow) + 16 * len(rules))
+    assert all((shard.document(i) == d).all() for i, d in enumerate(docs[:-1]))
+    assert (shard.ids(7, 100, 140) == docs[7][100:140]).all()
+    counts = collections.Counter(zip(shard.symbols[:-1].tolist(), shard.symbols[1:].tolist(), strict=True))
+    assert sum(n >= 9 for n in counts.values()) < 50  # but for those across documents
