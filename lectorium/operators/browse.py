@@ -26,10 +26,15 @@ def has_difficulty(levels: Collection[int | None] | None, column: str = "difficu
     return found | F.col(column).isNull() if None in levels else found
 
 
+def searched() -> Column:
+    """What keywords are looked for in: title and text in lower case."""
+    return F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+
+
 def has_keyword(keyword: str | None) -> Column | None:
     """A literal substring of title and text, in any case; a blank one is no test."""
     wanted = (keyword or "").strip().lower()
-    return F.contains(F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))), F.lit(wanted)) if wanted else None
+    return F.contains(searched(), F.lit(wanted)) if wanted else None
 
 
 def filter_passages(passages: DataFrame, questions: DataFrame | None = None, *, passage_types=None, question_types=None, difficulties=None, keyword=None) -> DataFrame:

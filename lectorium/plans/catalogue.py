@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays, errors, text
 from ..operators import browse, exams
+from ..operators.keyword_index import KeywordIndex
+from ..sources.store import shared_folder
 from . import adapters
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -58,6 +62,16 @@ def filter_keyword_unicode(spark, sf_dir):
     return _shown(browse.filter_passages(adapters.passages_of_documents(spark, sf_dir), keyword=" ÜBER "))
 
 
+@query(f"WITH {D} SELECT {KEPT} FROM d WHERE contains(lower(title || chr(10) || text), 'license')")
+def filter_keyword_indexed(spark, sf_dir):
+    """As above, from the files that an index names."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    adapters.passages_of_documents(spark, sf_dir).repartitionByRange(32, "ord").write.parquet(f"{folder}/passages")
+    index = KeywordIndex(spark, f"{folder}/passages", f"{folder}/index")
+    index.refresh()
+    return _shown(index.search("LICENSE"))
+
+
 @query(
     f"WITH {D} SELECT id, passage_type, difficulty, {TITLE} AS display_title FROM d WHERE passage_type IN ('en', 'fr') AND (difficulty IN (1, 2) OR difficulty IS NULL) AND contains(lower(title || chr(10) || text), 'the')"
 )
