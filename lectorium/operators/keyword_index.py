@@ -122,4 +122,4 @@ class KeywordIndex:
         if test is None:
             return self.spark.read.parquet(self.table)
         found, whole = self.candidates(keyword), self.spark.read.parquet(self.table)
-        return self._read(found).schema(whole.schema).parquet(*found).where(test) if found else whole.where(F.lit(False))
+        return self._read().schema(whole.schema).parquet(*found).where(test) if found else whole.where(F.lit(False))
