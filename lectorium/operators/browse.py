@@ -72,11 +72,14 @@ def totals(passages: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def level_histogram(passages: DataFrame) -> DataFrame:
-    """difficulty, n for 1 to 5 and for null, zeros included. The domain has six rows; the counts as many at most."""
-    spark = passages.sparkSession
-    domain = spark.range(1, 7).select(F.when(F.col("id") < 6, F.col("id").cast("int")).alias("difficulty"))
-    counts = passages.groupBy("difficulty").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("difficulty", "d")
-    return domain.join(counts, F.col("difficulty").eqNullSafe(F.col("d")), "left").select("difficulty", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """difficulty, n for 1 to 5 and for null, zeros included."""
+    return filled_levels(passages.groupBy("difficulty").agg(F.count(F.lit(1)).alias("n")))
+
+
+def filled_levels(counts: DataFrame) -> DataFrame:
+    """Counts by difficulty with a zero for each level that has none. The domain has six rows; the counts as many at most."""
+    domain = counts.sparkSession.range(1, 7).select(F.when(F.col("id") < 6, F.col("id").cast("int")).alias("difficulty"))
+    return domain.join(counts.withColumnRenamed("difficulty", "d"), F.col("difficulty").eqNullSafe(F.col("d")), "left").select("difficulty", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def listed_models(models: DataFrame, prefix: str) -> DataFrame:

@@ -136,11 +136,11 @@ class EditLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _versions(self, what: str) -> list[int]:
+    def versions(self, what: str) -> list[int]:
         store, folder = _at(self.spark, f"{self.path}/{what}")
         return sorted(int(f.getPath().getName()) for f in store.listStatus(folder) if f.getPath().getName().isdigit()) if store.exists(folder) else []
 
-    def _place(self, written: str, name: str) -> bool:
+    def place(self, written: str, name: str) -> bool:
         """Give a folder its name in one step; False if the name is taken."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         (store, source), (_, target) = _at(self.spark, written), _at(self.spark, f"{self.path}/{name}")
@@ -155,7 +155,7 @@ class EditLog:
             return False
         return True
 
-    def _elsewhere(self) -> str:
+    def elsewhere(self) -> str:
         return f"{self.path}/new/{uuid.uuid4().hex}"
 
     def create(self, passages: DataFrame, exams: DataFrame) -> int:
@@ -164,14 +164,14 @@ class EditLog:
         return 0
 
     def _base(self, passages: DataFrame, exams: DataFrame, version: int) -> None:
-        written = self._elsewhere()
+        written = self.elsewhere()
         passages.write.parquet(f"{written}/passages")
         exams.write.parquet(f"{written}/exams")
-        if not self._place(written, f"base/{version}") and not version:
+        if not self.place(written, f"base/{version}") and not version:
             raise StaleVersion(f"{self.path} is there")
 
     def head(self) -> int:
-        return max(self._versions("log")[-1:] + self._versions("base")[-1:])
+        return max(self.versions("log")[-1:] + self.versions("base")[-1:])
 
     def append(self, edits: Iterable[dict] | DataFrame, base: int) -> int:
         """The version after base, made by those edits (of edit(), or a frame of RECORD with seq); StaleVersion if there is one already."""
@@ -180,9 +180,9 @@ class EditLog:
         if not isinstance(edits, DataFrame):
             kind = T.StructType.fromDDL(f"seq int, {RECORD}")
             edits = self.spark.createDataFrame([tuple((e | {"seq": n}).get(c) for c in kind.names) for n, e in enumerate(edits)], kind)
-        written = self._elsewhere()
+        written = self.elsewhere()
         edits.withColumn("at", now_iso()).write.parquet(written)
-        if not self._place(written, f"log/{base + 1}"):
+        if not self.place(written, f"log/{base + 1}"):
             raise StaleVersion(f"{self.path} has gone on from {base}")
         return base + 1
 
@@ -196,7 +196,7 @@ class EditLog:
         return out
 
     def _bases(self, version: int) -> tuple[int, DataFrame, DataFrame]:
-        base = max(n for n in self._versions("base") if n <= version)
+        base = max(n for n in self.versions("base") if n <= version)
         return base, *(self.spark.read.parquet(f"{self.path}/base/{base}/{name}") for name in ("passages", "exams"))
 
     def state(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -226,6 +226,6 @@ class EditLog:
     def compact(self) -> int:
         """Write the newest state as a base; logs up to it stay, for states of older versions."""
         version = self.head()
-        if version not in self._versions("base"):
+        if version not in self.versions("base"):
             self._base(*self.state(version), version)
         return version

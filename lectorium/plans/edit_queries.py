@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import arrays, text
 from ..operators import browse, edits
+from ..operators.counts import Counts
 from ..operators.log import RECORD, EditLog
 from ..sources import external, library_file
 from ..sources.store import shared_folder
@@ -197,10 +198,11 @@ def saved_exams(spark, sf_dir):
     return rows.select("ord", "id", "title", F.array_join("passage_ids", ",").alias("ids"))
 
 
-def _logged(spark, sf_dir):
-    """The library after two commits: rates and deletions from labels, and edits of exams."""
+def _logged(spark, sf_dir, begin=lambda log: None):
+    """The library after two commits: rates and deletions from labels, and edits of exams. begin is called before them."""
     edits_log = EditLog(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
     edits_log.create(*_library(spark, sf_dir))
+    begin(edits_log)
     kind = T.StructType.fromDDL(f"seq int, {RECORD}")
     filled = lambda frame, **given: frame.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind))
     labels = adapters.table(spark, sf_dir, "labels")
@@ -210,7 +212,7 @@ def _logged(spark, sf_dir):
     exams, at = adapters.exam_sets_of_customers(spark, sf_dir).select("id"), F.col("id") % 3
     op = F.when(at == 0, "remove").when(at == 1, "move").otherwise("rename")
     edits_log.append(filled(exams, seq=F.lit(0), of=F.lit("exams"), id=F.col("id"), op=op, rows=F.array(F.lit(0)), step=F.lit(1), values=F.create_map(F.lit("title"), F.lit("renamed"))), 1)
-    return edits_log.state()
+    return edits_log
 
 
 @query(
@@ -218,7 +220,7 @@ def _logged(spark, sf_dir):
 FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0"""
 )
 def logged_passages(spark, sf_dir):
-    rows = _logged(spark, sf_dir)[0]
+    rows = _logged(spark, sf_dir).state()[0]
     first = rows.select("key").repartitionByRange("key").sortWithinPartitions("key").withColumn("p", F.spark_partition_id())
     before = first.groupBy("p").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
     places = first.join(before, "p").withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("key")) + F.col("before"))
@@ -230,7 +232,15 @@ def logged_passages(spark, sf_dir):
 list_aggregate(CASE WHEN id % 3 = 0 THEN ids[2:] WHEN id % 3 = 1 AND len(ids) > 1 THEN [ids[2], ids[1]] || ids[3:] ELSE ids END, 'string_agg', ',') AS ids FROM e"""
 )
 def logged_exams(spark, sf_dir):
-    return _exams(_logged(spark, sf_dir)[1])
+    return _exams(_logged(spark, sf_dir).state()[1])
+
+
+@query(
+    """WITH s AS (SELECT lang, CASE WHEN quality = 1 THEN 5 END AS difficulty FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0)
+SELECT 'passages' AS kind, NULL AS value, count(*) AS n FROM s UNION ALL SELECT 'passage_type', coalesce(lang, ''), count(*) FROM s GROUP BY 2 UNION ALL SELECT 'difficulty', difficulty::VARCHAR, count(*) FROM s GROUP BY 2"""
+)
+def logged_counts(spark, sf_dir):
+    return Counts(_logged(spark, sf_dir, lambda log: Counts(log).begin())).counts()
 
 
 class _Missing(Exception):
