@@ -4,8 +4,12 @@ Distinct fingerprints are dealt to the leaves of a vantage-point tree by their H
 at most the node's radius goes inside, more goes outside. By the triangle inequality two fingerprints that differ in r
 bits have distances to any point that differ by r at most, so a fingerprint within r of the radius on one side is sent to
 the other side too, and every linked pair meets in some leaf. The tree is fitted on a bounded sample of fingerprints
-(SAMPLE); that decides only how evenly the leaves fill, never which links are found. A leaf splits itself further in the
-same way until brute force is cheaper, and gives a spanning forest of its links instead of all pairs. Connected
+(SAMPLE); that decides only how evenly the leaves fill, never which links are found. The driver plans MAX_LEAVES leaves at
+most. Where that would leave some fuller than LARGEST, their fingerprints are counted and full leaves get trees of their own,
+each planned in a task on a sample of that leaf, level by level; a leaf that no cut makes smaller is dealt in blocks, and each
+pair of blocks is a group. So no task has many more than LARGEST fingerprints, however many there are. Within a task a leaf
+splits itself further in the same way until brute force is cheaper, and gives a spanning forest of its links instead of all
+pairs. Connected
 components of those forests come from alternating large-star and small-star steps over tables in the shared folder.
 
 Defined cases. A null or empty text, or one without words, has fingerprint zero and is linked like any other. Fewer words
@@ -31,12 +35,15 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 LEAF, LARGEST = 1 << 16, 1 << 20
-MAX_LEAVES = 1 << 12
+MAX_LEAVES, SUB_LEAVES = 1 << 12, 1 << 8
+LEVELS = 8
 SAMPLE = 40_000
 CANDIDATES = 48
 BRUTE = 2048
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-ROUTED = pa.schema([("leaf", pa.int32()), ("fp", pa.int64()), ("node", pa.int64())])
+ROUTED = pa.schema([("leaf", pa.int64()), ("fp", pa.int64()), ("node", pa.int64())])
+ROUTED_DDL = "leaf long, fp long, node long"
+PLANNED = pa.schema([("leaf", pa.int64()), ("n", pa.int64()), ("tree", pa.binary())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -157,23 +164,84 @@ def forest(prints: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def links(nodes_of: DataFrame, radius: int = RADIUS, leaf: int | None = None) -> DataFrame:
+def _dealt(rows: pa.RecordBatch | pa.Table, tree: list[tuple[int, int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """leaf, fp, node of rows in the leaves of a tree."""
+    fps, ids = rows.column("fp").to_numpy(), rows.column("node").to_numpy()
+    leaves, at = route(tree, fps.view(np.uint64), radius)
+    return leaves, fps[at], ids[at]
+
+
+def _named(leaf: int, part: str) -> int:
+    """A leaf's part as a signed number; two of one number would be searched together, which finds the same links."""
+    return xxhash.xxh64_intdigest(f"{leaf}.{part}") - (1 << 63)
+
+
+def _in_blocks(leaf: int, fps: np.ndarray, ids: np.ndarray, blocks: int) -> list[pa.RecordBatch]:
+    """The rows of a leaf once for each pair of blocks that has theirs."""
+    own = ((fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(blocks)
+    out = []
+    for block in np.unique(own).tolist():
+        at = np.flatnonzero(own == block)
+        for other in range(blocks):
+            pair = _named(leaf, f"{min(block, other)}-{max(block, other)}")
+            out.append(of(ROUTED, leaf=np.full(len(at), pair), fp=fps[at], node=ids[at]))
+    return out
+
+
+def _split_further(routed: DataFrame, radius: int, largest: int, most: int) -> list[DataFrame]:
+    """routed (leaf, fp, node) in frames of further leaves, none of which has many more than `largest` rows."""
+    done = []
+    for level in range(LEVELS + 1):
+        full = stored(routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest), "full")
+        if full.isEmpty():
+            return [*done, routed]
+        done.append(routed.join(full, "leaf", "left_anti"))
+        parts = F.ceil(F.col("n") / largest)
+        rows = routed.join(full, "leaf").withColumn("part", F.pmod(F.xxhash64("fp"), parts))
+        share = F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 40)) < F.lit(float(SAMPLE << 40)) / F.col("n")
+        leaves_of = most if level < LEVELS else 0  # the last level makes blocks of all that is still full
+
+        def plan(group: pa.Table) -> pa.Table:
+            n, prints = group.column("n")[0].as_py(), np.sort(group.column("fp").to_numpy()).view(np.uint64)
+            tree = plan_tree(prints, n, radius, largest, leaves_of)
+            return pa.Table.from_batches([of(PLANNED, leaf=group.column("leaf")[:1].to_numpy(), n=[n], tree=[np.array([(p - (1 << 63), *rest) for p, *rest in tree], np.int64).tobytes()])])
+
+        def deal(group: pa.Table, planned: pa.Table) -> pa.Table:
+            if not group.num_rows:
+                return pa.Table.from_batches([], ROUTED)
+            leaf, n = planned.column("leaf")[0].as_py(), planned.column("n")[0].as_py()
+            tree = [(p + (1 << 63), *rest) for p, *rest in np.frombuffer(planned.column("tree")[0].as_py(), np.int64).reshape(-1, 4).tolist()]
+            if not tree:  # pairs of blocks have `largest` rows, and are below it as a whole
+                return pa.Table.from_batches(_in_blocks(leaf, group.column("fp").to_numpy(), group.column("node").to_numpy(), -(-5 * n // (2 * largest))), ROUTED)
+            leaves, fps, ids = _dealt(group, tree, radius)
+            names = {at: _named(leaf, str(at)) for at in np.unique(leaves).tolist()}
+            return pa.Table.from_batches([of(ROUTED, leaf=np.array([names[at] for at in leaves.tolist()], np.int64), fp=fps, node=ids)])
+
+        trees = rows.where(share).select("leaf", "n", "fp").groupBy("leaf").applyInArrow(plan, "leaf long, n long, tree binary")
+        trees = full.select("leaf", F.col("n").alias("m")).join(trees, "leaf", "left").select("leaf", F.col("m").alias("n"), F.coalesce("tree", F.lit(b"")).alias("tree"))
+        trees = trees.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        pieces = rows.select("leaf", "part", "fp", "node").groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part"))
+        routed = stored(pieces.applyInArrow(deal, ROUTED_DDL), "routed")
+    return [*done, routed]
+
+
+def links(nodes_of: DataFrame, radius: int = RADIUS, leaf: int | None = None, largest: int = LARGEST, most: int = MAX_LEAVES, sub_leaves: int = SUB_LEAVES) -> DataFrame:
     """Edges (u, v), u > v, that connect exactly the nodes whose fingerprints are linked by steps within the radius.
 
     nodes_of: fp, node; each fingerprint once. A leaf holds what its share of the session's partitions calls for, LEAF at
-    least and LARGEST at most, or more where MAX_LEAVES leaves would not do.
+    least and `largest` at most.
     """
     known = nodes_of.where("node IS NOT NULL")
     total = known.count()
-    sample = known.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()
-    leaf = leaf or min(max(LEAF, total // (4 * partitions(nodes_of))), LARGEST)
-    tree = plan_tree(sample.column("fp").to_numpy().view(np.uint64), total, radius, leaf)
+    sample = known.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
+    leaf = leaf or min(max(LEAF, total // (4 * partitions(nodes_of))), largest)
+    tree = plan_tree(sample, total, radius, leaf, most)
+    fullest = int(np.bincount(route(tree, sample, radius)[0]).max(initial=0)) / max(1, len(sample)) * total if len(sample) else 0
 
     def deal(batches):
         for batch in batches:
-            fps, ids = batch.column("fp").to_numpy(), batch.column("node").to_numpy()
-            leaves, rows = route(tree, fps.view(np.uint64), radius)
-            yield of(ROUTED, leaf=leaves, fp=fps[rows], node=ids[rows])
+            leaves, fps, ids = _dealt(batch, tree, radius)
+            yield of(ROUTED, leaf=leaves.astype(np.int64), fp=fps, node=ids)
 
     def search(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("node").to_numpy(), kind="stable")
@@ -182,7 +250,12 @@ def links(nodes_of: DataFrame, radius: int = RADIUS, leaf: int | None = None) ->
         linked = np.flatnonzero(first != np.arange(len(first)))
         return pa.Table.from_batches([of(EDGES, u=ids[linked], v=ids[first[linked]])])
 
-    return known.select("fp", "node").mapInArrow(deal, "leaf int, fp long, node long").groupBy("leaf").applyInArrow(search, "u long, v long")
+    routed = known.select("fp", "node").mapInArrow(deal, ROUTED_DDL)
+    frames = _split_further(stored(routed, "routed"), radius, largest, sub_leaves) if fullest > 2 * largest else [routed]
+    out = [frame.groupBy("leaf").applyInArrow(search, "u long, v long") for frame in frames]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
 
 
 def components(edges: DataFrame) -> DataFrame:

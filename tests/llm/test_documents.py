@@ -208,6 +208,23 @@ def test_tree_loses_no_link(spark, leaf, monkeypatch):
     assert [found.get(i, i) for i in range(len(prints))] == classes(prints).tolist()
 
 
+@pytest.mark.parametrize("levels", [0, 1, 8])
+def test_full_leaves_go_on_splitting(spark, levels, monkeypatch):
+    """Trees of trees, and blocks where no cut makes a leaf smaller, lose no link; no group is much fuller than it may be."""
+    monkeypatch.setattr(simhash, "LEVELS", levels)
+    rng = np.random.default_rng(levels)
+    bits = lambda n: np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, n).tolist())))
+    prints = np.append(rng.integers(0, 2**63, 700).astype(np.uint64), [np.uint64(12345) ^ bits(3) for _ in range(400)])  # a ball that no cut divides
+    prints = np.unique(np.append(prints, [f ^ bits(int(rng.integers(1, 5))) for f in prints[rng.integers(0, len(prints), 300)]]))
+    rows = spark.createDataFrame([(int(f), i) for i, f in enumerate(prints.view(np.int64))], "fp long, node long")
+    edges = simhash.links(rows, leaf=300, largest=120, most=3, sub_leaves=4)
+    found = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
+    assert [found.get(i, i) for i in range(len(prints))] == classes(prints).tolist()
+    routed = rows.selectExpr("1L AS leaf", "fp", "node")
+    sizes = [r["count"] for frame in simhash._split_further(routed, 3, 120, 4) for r in frame.groupBy("leaf").count().collect()]
+    assert max(sizes) <= (120 if levels == 8 else 160) and (levels == 0 or len(sizes) > 10)  # at the last level blocks are as even as hashes are
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400), (500, 450)], "u long, v long")
     assert {(r["node"], r["component"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(201)} | {(n, 400) for n in (400, 450, 500)}
