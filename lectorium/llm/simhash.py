@@ -251,7 +251,7 @@ def links(nodes_of: DataFrame, radius: int = RADIUS, leaf: int | None = None, la
         return pa.Table.from_batches([of(EDGES, u=ids[linked], v=ids[first[linked]])])
 
     routed = known.select("fp", "node").mapInArrow(deal, ROUTED_DDL)
-    frames = _split_further(stored(routed, "routed"), radius, largest, sub_leaves) if fullest > 2 * largest else [routed]
+    frames = _split_further(stored(routed, "routed"), radius, largest, sub_leaves) if 2 * fullest > largest else [routed]  # the sample that a tree is planned on shows its leaves up to half as full as they are
     out = [frame.groupBy("leaf").applyInArrow(search, "u long, v long") for frame in frames]
     for more in out[1:]:
         out[0] = out[0].unionByName(more)
