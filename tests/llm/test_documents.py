@@ -346,15 +346,19 @@ def test_equal_pairs():
 
 
 def brute_licenses(text):
-    """Templates that some window of a text holds to the threshold."""
+    """Templates that some window of a text holds to the threshold, with a notice's own words."""
     words, out = licenses.words_of(text), set()
-    for name, t in licenses.TEMPLATES.items():
-        own = licenses.words_of(t)
-        wanted = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
-        have = [i for i in range(len(words) - 4) if tuple(words[i : i + 5]) in wanted]
-        for a in have:
-            if len({tuple(words[i : i + 5]) for i in have if a <= i < a + len(own)}) >= 0.8 * len(wanted):
-                out.add(name)
+    grams = {k: [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] for k in (3, 4, 5)}
+    for name, wordings in licenses.known().items():
+        for t in [wordings] if isinstance(wordings, str) else wordings:
+            own = licenses.words_of(t)
+            k = min(len(own), 5)
+            wanted = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
+            have = [i for i, g in enumerate(grams[k]) if g in wanted]
+            for a in have:
+                inside = [i for i in have if a <= i < a + len(own)]
+                if len({grams[k][i] for i in inside}) >= 0.8 * len(wanted) and licenses.needed(name, own) <= set(words[a : inside[-1] + k]):
+                    out.add(name)
     return out
 
 

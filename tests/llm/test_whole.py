@@ -166,3 +166,48 @@ def test_a_shard_that_needs_more_rules_than_two_bytes_have():
     assert (shard.ids(7, 100, 140) == docs[7][100:140]).all()
     counts = collections.Counter(zip(shard.symbols[:-1].tolist(), shard.symbols[1:].tolist(), strict=True))
     assert sum(n >= 9 for n in counts.values()) < 50  # but for those across documents
+
+
+def test_notices_in_many_wordings():
+    templates = licenses.by_size(licenses.known())
+    wanted = {
+        "Licensed under the MIT license": "MIT-notice",
+        "This project is released under the Apache License 2.0, see below": "Apache-2.0-notice",
+        "# SPDX-License-Identifier: MIT": "MIT-notice",
+        "// SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1-notice",
+        "it may be distributed under the terms of the GNU General Public License, version 2": "GPL-2.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-notice",
+        "photos are available under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0-notice",
+        "text licensed under CC BY-SA 4.0 only": "CC-BY-SA-4.0-notice",
+        "covered by the 3-Clause BSD License": "BSD-3-Clause-notice",
+    }
+    for text, name in wanted.items():
+        assert {m[2] for m in licenses.matches([text], templates)[0]} == {name}, text
+        assert len(licenses.matches([f"{text}. And {text}"], templates)[0]) == 2
+    for text in ("MIT License", "he was licensed under the new law of the state", "licensed under the GNU General Public License", "", "a \ud800 b"):
+        assert licenses.matches([text], templates) == [[]]
+
+
+def test_whole_licenses_and_their_containment():
+    templates = licenses.by_size(licenses.known())
+    r = random.Random(9)
+    for name, text in ((n, t) for n, t in licenses.known().items() if n.endswith("-text")):
+        words = licenses.words_of(text)
+        shingles = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        for changes in (0, len(words) // 40, len(words) // 20):  # to a containment of some 0.8
+            own = [w.decode() for w in words]
+            for at in r.sample(range(len(own)), changes):
+                own[at] = "changed"
+            held = [w.encode() for w in own]
+            exact = len(shingles & {tuple(held[i : i + 5]) for i in range(len(held) - 4)}) / len(shingles)
+            got = [m for m in licenses.matches(["before it " * 30 + " ".join(own) + " and after" * 30], templates)[0] if m[2] == name]
+            assert len(got) == (exact >= 0.8), (name, exact)
+            assert not got or abs(got[0][3] - exact) < 1e-9
+
+
+def test_wordings_go_in_passes_and_short_ones_need_all_words(spark):
+    rows = spark.createDataFrame([(1, "one two three"), (2, "one two four"), (None, "so one two three four five six"), (3, None), (4, "")], "doc_id long, text string")
+    named = {"a": ("one two three", "two three four five six"), "b": "one two four"}
+    for size in (1, 1 << 20):
+        got = sorted(((x["doc_id"] or 0, x["license"], x["start"], x["end"]) for x in licenses.scan(rows, named, pass_bytes=size).collect()))
+        assert got == [(0, "a", 3, 16), (0, "a", 7, 30), (1, "a", 0, 13), (2, "b", 0, 12)]
