@@ -222,6 +222,10 @@ class Templates:
                 self.classes.setdefault(h, []).append((name, places, len(own), needed(name, own)))
                 keys.setdefault(h, []).append(np.array([((shingles * m) >> np.uint64(32)).astype(np.uint32).min() for m in self.multipliers]))
         self.keys = {h: np.stack(k, 1) for h, k in keys.items()}
+        self.marked = {h: np.zeros((BANDS, 1 << 16), bool) for h in keys}
+        for h, k in self.keys.items():
+            for band in range(BANDS):
+                self.marked[h][band][k[band].astype(np.uint16)] = True
 
     def of_class(self, h: int, words: list[bytes]) -> list[tuple[str, dict, int, frozenset]]:
         """The templates of a class whose needed words are all there."""
@@ -266,21 +270,30 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 def candidate_windows(shingles: np.ndarray, templates: Templates) -> dict[int, np.ndarray]:
-    """By class h, the windows j (shingles j * h to j * h + 2h) that collide with a template of the class in some band."""
-    hits = {h: None for h in templates.keys}
+    """By class h, the windows j (shingles j * h to j * h + 2h) that collide with a template of the class in some band.
+
+    A template of class 1 is one shingle, so each band says the same of it and one is asked. Of the others' windows those go to
+    the exact look-up whose last bits some key of the band has.
+    """
+    hits: dict[int, list[np.ndarray]] = {h: [] for h in templates.keys}
     top = max(templates.keys, default=0)
     padded = -(-len(shingles) // (2 * top)) * 2 * top if top else 0
-    for band, m in enumerate(templates.multipliers):
+    for band, m in enumerate(templates.multipliers[: 1 if top == 1 else BANDS]):
         least = np.full(padded, 0xFFFFFFFF, np.uint32)
         least[: len(shingles)] = (shingles * m) >> np.uint64(32)
         h = 1
         while h <= top:
-            if h in hits:
-                window = np.minimum(least, np.r_[least[1:], np.uint32(0xFFFFFFFF)])
-                hit = np.isin(window, templates.keys[h][band])
-                hits[h] = hit if hits[h] is None else hits[h] | hit
+            if h in hits and (h > 1 or band == 0):
+                some = np.flatnonzero(templates.marked[h][band][least.astype(np.uint16)])  # a window's least is that of one of its halves
+                hits[h].append(some[np.isin(least[some], templates.keys[h][band])])
             least, h = np.minimum(least[::2], least[1::2]), h * 2
-    return {h: np.flatnonzero(hit) for h, hit in hits.items() if hit is not None}
+    return {h: _either(np.unique(np.concatenate(own)), -(-len(shingles) // h)) for h, own in hits.items() if own}
+
+
+def _either(halves: np.ndarray, n: int) -> np.ndarray:
+    """The windows that hold one of those halves."""
+    out = np.unique(np.concatenate([halves - 1, halves]))
+    return out[(out >= 0) & (out < n)]
 
 
 def _pieces(grams: list[tuple], places: dict[tuple, list[int]]) -> list[tuple[int, int]]:
