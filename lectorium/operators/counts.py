@@ -29,7 +29,7 @@ def light(passages: DataFrame) -> DataFrame:
     question = passages.schema["questions"].dataType.elementType
     thin = lambda q: F.struct(*((q[f.name] if f.name in OF_QUESTION else F.lit(None).cast(f.dataType)).alias(f.name) for f in question))
     columns = {f.name: F.lit(None).cast(f.dataType) for f in passages.schema if f.name not in (*COUNTED, "questions")}
-    return passages.withColumns(columns | {"questions": F.transform("questions", thin)})
+    return passages.withColumns(columns | {"questions": F.transform("questions", thin).cast(passages.schema["questions"].dataType)})
 
 
 def _one(kind: str, value: Column, n: Column) -> Column:
