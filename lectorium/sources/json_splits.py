@@ -3,8 +3,8 @@
 Spark's text source cuts the file into byte ranges, in any store, and its lines are made to end at "}", so a list without line
 breaks is cut as well. Whether a split begins inside of a string, how deep, and in which element is known only from the splits
 before it. So three passes are made, each over all splits at once: one sums up quotes and brackets, for both cases of the
-start; one counts, from the depth then known, lists and elements; and the last one, which is the frame that is returned,
-hands out elements. What comes to the driver is a few numbers for each split, and the object without its lists'
+start; one counts, from the depth then known, lists and elements; and the last one cuts the elements out and stores them in
+the shared folder, so that the file is read and decoded once, however often the frame that is returned is used. What comes to the driver is a few numbers for each split, and the object without its lists'
 elements, of at most SKELETON bytes. An element within one split is decoded there; the edges of others meet by their number.
 
 Elements are decoded strictly, as UTF-8 and then as Python's json does: of repeated keys the last counts. NaN and Infinity,
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import at, shared_folder
+from .store import at, shared_folder, stored
 
 END = "}"
 BLANK = b" \t\r\n"
@@ -54,15 +54,23 @@ class Start:
     i: int = 0
 
 
-def tokens(text: np.ndarray, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Places, classes and depths (that of an opening bracket counts it) of brackets and commas outside of strings, and whether the end is in a string."""
+def _signs(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and classes of brackets, commas and quotes, and which of them are quotes that no backslash takes back."""
     at = np.flatnonzero(CLASS[text])
     kind = CLASS[text[at]]
     quote = kind == QUOTE
-    if (text == 0x5C).any():
-        plain = np.where(text != 0x5C, np.arange(len(text)), -1)
-        last = np.maximum.accumulate(np.r_[-1, plain])  # the last byte before each place that is no backslash
-        quote &= (at - 1 - last[at]) % 2 == 0
+    near = np.flatnonzero(quote & (at > 0) & (text[at - 1] == 0x5C))
+    if len(near):  # an odd run of backslashes ends before such a quote
+        slashes = np.flatnonzero(text == 0x5C)
+        first = np.maximum.accumulate(np.where(np.diff(slashes, prepend=-2) != 1, np.arange(len(slashes)), 0))
+        own = np.searchsorted(slashes, at[near] - 1)
+        quote[near] = (own - first[own]) % 2 == 1
+    return at, kind, quote
+
+
+def tokens(text: np.ndarray, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Places, classes and depths (that of an opening bracket counts it) of brackets and commas outside of strings, and whether the end is in a string."""
+    at, kind, quote = _signs(text)
     within = (np.cumsum(quote) + inside) % 2 == 1
     outside = ~within & (kind != QUOTE)
     places, kinds = at[outside], kind[outside]
@@ -70,6 +78,14 @@ def tokens(text: np.ndarray, inside: bool, depth: int) -> tuple[np.ndarray, np.n
     return places, kinds, depths, bool((quote.sum() + inside) % 2)
 
 
+def _ends(text: np.ndarray) -> tuple[bool, int, int]:
+    """Whether quotes are odd in number, and how much deeper the end is, for a start out of a string and in one."""
+    _, kind, quote = _signs(text)
+    within = np.cumsum(quote) % 2 == 1
+    step = (kind == OPEN).astype(np.int64) - (kind == CLOSE)
+    return bool(quote.sum() % 2), int(step[~within].sum()), int(step[within].sum())
+
+
 def decoded(raw: bytes) -> tuple[str | None, bool]:
     """The JSON text of an element, with repeated keys and unbounded numbers settled; and whether it is none."""
     odd = False
@@ -135,10 +151,9 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at, chunks in _splits(batches):
         size, odd, out, within = 0, False, 0, 0
         for chunk in chunks:
-            text = np.frombuffer(chunk, np.uint8)
-            ends = [tokens(text, inside, 0) for inside in (odd, not odd)]
-            deeper = [int(d[-1]) if len(d) else 0 for _, _, d, _ in ends]
-            size, odd, out, within = size + len(chunk), ends[0][3], out + deeper[0], within + deeper[1]
+            flips, *deeper = _ends(np.frombuffer(chunk, np.uint8))
+            size, out, within = size + len(chunk), out + deeper[odd], within + deeper[not odd]
+            odd ^= flips
         yield _batch(STATS, [(at, size, odd, out, within)])
 
 
@@ -254,7 +269,7 @@ def lists_of(spark: SparkSession, path: str, size: int) -> tuple[dict, DataFrame
         now.lists += c["lists"]
         now.i = now.i + c["before"] if c["kind"] == "=" else c["behind"]
         now.kind = now.kind if c["kind"] == "=" else c["kind"]
-    parts = source.mapInArrow(cutter(starts, last), DDL)
+    parts = stored(source.mapInArrow(cutter(starts, last), DDL), "parts")
     rest = parts.where("list = -1").select("at", "i", "edge")
     if (rest.agg(F.sum(F.length("edge")).alias("n")).first()["n"] or 0) > SKELETON:
         raise ValueError(f"{path} has more than {SKELETON} bytes beside its lists")

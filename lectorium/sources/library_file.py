@@ -147,12 +147,13 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         numbers[name] = root[name][0] if name in root else -1
     own = entries.withColumn("v", F.try_parse_json("json"))
     v, of_list = F.col("v"), F.col("list")
-    bad = F.when(F.col("json").isNull(), "no JSON").when((of_list == numbers["passages"]) & v.isNotNull() & _bad_passage(v), "no passage").when((of_list == numbers["exam_sets"]) & v.isNotNull() & _bad_exam(v), "no exam set")
-    faults = own.select("list", "i", bad.alias("bad"), v.isNull().alias("large")).where("bad IS NOT NULL OR large").orderBy(F.col("bad").isNull(), "list", "i").limit(1).collect()
-    if faults and faults[0]["bad"]:
-        raise BrokenLibrary(f"{path}: entry {faults[0]['i']} of list {faults[0]['list']} is {faults[0]['bad']}")
+    bad = F.when(F.col("json").isNull(), "no JSON").when(v.isNull(), "too large").when((of_list == numbers["passages"]) & _bad_passage(v), "no passage").when((of_list == numbers["exam_sets"]) & _bad_exam(v), "no exam set")
+    # grouped, as a filter on bad would have the entries taken apart for it once more
+    found = own.select(bad.alias("bad"), F.struct("list", "i").alias("at")).groupBy("bad").agg(F.min("at").alias("at")).collect()
+    faults = sorted((f["bad"] == "too large", *f["at"], f["bad"]) for f in found if f["bad"])
     if faults:
-        raise ValueError(f"{path}: entry {faults[0]['i']} of list {faults[0]['list']} is too large")
+        large, number, i, what = faults[0]
+        raise (ValueError if large else BrokenLibrary)(f"{path}: entry {i} of list {number} is {what}")
     passages, exams = (own.where(of_list == number).select(F.col("i").alias("ord"), "v") for number in numbers.values())
     return _passages(passages), _exams(exams)
 
@@ -179,10 +180,22 @@ def coded(rows: DataFrame) -> DataFrame:
     return rows.select("ord", F.to_json(F.struct(*(c for c in rows.columns if c != "ord")), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def indented(value, before: str = "\n") -> str:
+    """As json.dumps(value, ensure_ascii=False, indent=2), lines beginning as before says. What holds no filled lists or objects is printed by the compiled encoder, which json leaves for a slow one where it indents."""
+    if not value or not isinstance(value, (dict, list)):
+        return json.dumps(value, ensure_ascii=False)
+    line, left, right = f"{before}  ", *("{}" if isinstance(value, dict) else "[]")
+    of = value.values() if isinstance(value, dict) else value
+    if not any(x and isinstance(x, (dict, list)) for x in of):
+        return f"{left}{line}{json.dumps(value, ensure_ascii=False, separators=(f',{line}', ': '))[1:-1]}{before}{right}"
+    names = [f"{json.dumps(k, ensure_ascii=False)}: " for k in value] if isinstance(value, dict) else [""] * len(value)
+    return f"{left}{line}" + f",{line}".join(name + indented(x, line) for name, x in zip(names, of, strict=True)) + f"{before}{right}"
+
+
 def _printed(batches):
     """Entries of a list in the root, indented by two, each with the comma before it and without its last bracket, which is the line separator."""
     for batch in batches:
-        texts = [json.dumps(json.loads(x), ensure_ascii=False, indent=2).replace("\n", "\n    ") for x in batch.column("json").to_pylist()]
+        texts = [indented(json.loads(x), "\n    ") for x in batch.column("json").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([f",\n    {t[:-1]}" for t in texts], pa.string())], schema=LINES)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = "/tmp/checkpoints"
 
@@ -21,3 +23,10 @@ def at(spark: SparkSession, path: str):
     """The file system of a path, and the path, as Hadoop has them."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows of df written to the shared folder and read back, so that what made them runs once."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -371,3 +371,45 @@ def test_large_library(spark, tmp_path):
     assert again.rdd.getNumPartitions() > 1
     same = again.join(rows.select("ord", F.col("text").alias("was")), "ord").where(F.col("text") == F.col("was"))
     assert again.count() == same.count() == 7000
+
+
+def test_entries_are_cut_once(spark, tmp_path):
+    path = written(tmp_path, {"passages": [{"id": "a", "text": "}{"}, {"id": "b"}], "exam_sets": [{"id": "e", "passage_ids": ["a", "b"]}]})
+    passages, sets = library_file.read(spark, path)
+    os.remove(path)  # frames that cut the file again at each use would fail here
+    assert [(r["id"], r["text"]) for r in passages.orderBy("ord").collect()] == [("a", "}{"), ("b", "")]
+    assert [r["passage_ids"] for r in sets.collect()] == [["a", "b"]]
+
+
+def test_indented_as_json_does():
+    odd = {"a": "\n\"\\é", "b": [], "c": {}, "d": [1, 2.5, None, True], "e": [[], [1], {"x": {}}, {"y": [1, {"z": "{,}"}]}], "": {"f": {"g": [""]}}, "h": "[1, 2]"}
+    for value in (odd, [odd, odd], [], {}, "x", None, [[[]]], [1], {"a": 1}):
+        assert library_file.indented(value) == json.dumps(value, ensure_ascii=False, indent=2)
+
+
+def test_first_fault_is_told(spark, tmp_path):
+    path = written(tmp_path, {"passages": [{"id": "a"}, {"questions": 1}, 5], "exam_sets": [7]})
+    with pytest.raises(library_file.BrokenLibrary, match="entry 1 of list 0 is no passage"):
+        library_file.read(spark, path)
+
+
+def test_signs_behind_backslashes():
+    from lectorium.sources import json_splits
+
+    draw = random.Random(7)
+    for n in range(400):
+        text = "".join(draw.choice('\\\\"{}[],a') for _ in range(n % 40)).encode()
+        inside, depth, ends, odd = [False, True], [0, 0], [], 0
+        for k in (0, 1):
+            quoted = inside[k]
+            for i, c in enumerate(text):
+                run = len(text[:i]) - len(text[:i].rstrip(b"\\"))
+                if c == 0x22 and run % 2 == 0:
+                    quoted = not quoted
+                elif not quoted:
+                    depth[k] += (c in b"{[") - (c in b"]}")
+            ends.append(quoted)
+            odd = ends[0]
+        import numpy as np
+
+        assert json_splits._ends(np.frombuffer(text, np.uint8)) == (odd, *depth)
