@@ -47,6 +47,14 @@ PLANNED = pa.schema([("leaf", pa.int64()), ("n", pa.int64()), ("tree", pa.binary
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes (big-endian) have."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64 majority bits over a text's word shingles, repeats included, as an unsigned integer."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # both are ASCII only: A-Z, and \x20 \x09-\x0D
@@ -57,11 +65,7 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), ">u8", n)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), ">u8", n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

@@ -1,7 +1,7 @@
 """The pipeline's stages, one after the other, against what they promise."""
 
 import corpus_pipeline
-from lectorium.llm import common, packing, quality, rules, secrets
+from lectorium.llm import common, packing, quality, rules, secrets, shingles, simhash
 
 
 def first_of_each(texts):
@@ -51,3 +51,21 @@ def test_odd_and_empty_tables(spark, odd, none, data):
                 assert after.count() <= rows.count()
             else:
                 assert (after.count() == 0) == (rows.count() == 0)
+
+
+def test_near_duplicates_come_through_the_tree_first(spark, monkeypatch):
+    """What the tree of fingerprints connects is not compared in blocks; links that it gives and that are under 0.8 don't count; those that it can't see are found."""
+    words = [f"w{i}" for i in range(4000)]
+    text = lambda begin, n, *changed: " ".join(f"x{i}" if i in changed else words[begin + i] for i in range(n))
+    texts = {1: text(0, 900), 2: text(0, 900, 400), 3: text(0, 900, 895), 4: text(1000, 60), 5: text(1000, 60, 30), 6: text(1000, 60, 3, 33), 7: text(2000, 900), 8: text(3000, 5), 9: text(3000, 5, 4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    compared, planned = [], []
+    links, plan = shingles.links, simhash.plan_tree
+    monkeypatch.setattr(shingles, "links", lambda rows, *more: compared.extend(r["node"] for r in rows.collect()) or links(rows, *more))
+    monkeypatch.setattr(simhash, "plan_tree", lambda *a, **k: planned.append(a) or plan(*a, **k))
+    found = {r["doc_id"]: r["component_id"] for r in shingles.classes(docs).collect()}
+    assert found == first_of_each(texts)
+    assert planned and not set(compared) & {shingles.node_of(shingles.shingle_set(texts[i])) for i in (1, 2, 3)}
+    sets = spark.createDataFrame([(n, list(range(10 - k))) for n, k in ((-5, 0), (7, 1), (9, 3))], "node long, shingles array<long>")
+    nodes = spark.createDataFrame([(-5, 6), (7, 7), (9, 6)], "node long, fp long")
+    assert [tuple(r) for r in shingles.tree_links(nodes, sets).collect()] == [(7, -5)]
