@@ -35,6 +35,7 @@ SHARD = 1 << 20
 MIN_COUNT = (9, 5)  # fewer replacements, at 2 and 4 bytes a symbol, save no more than the 16 bytes of their rule
 SPREAD = 4
 SLOT_BITS = 16
+STRETCH = 1 << 15
 NO_PAIR = np.uint32(0xFFFFFFFF)
 MAGIC = b"RPG1"
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_ids", "<u8"), ("place", "<u8")])
@@ -45,20 +46,19 @@ READ = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("position", pa.i
 
 def _apart(at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the places of pairs, in order, those to replace, and their ranks: the best rank first, without overlaps."""
-    chosen = [(at[:0], rank[:0])]
+    places, ranks = at, rank
+    chosen, left = np.zeros(len(at), bool), np.arange(len(at))
     while len(at):
         near, better = at[1:] - at[:-1] == 1, rank[1:] < rank[:-1]
         win = np.ones(len(at), bool)
         win[1:] &= ~near | better
         win[:-1] &= ~(near & better)
-        chosen.append((at[win], rank[win]))
+        chosen[left[win]] = True
         keep = ~win
         keep[1:] &= ~(near & win[:-1])
         keep[:-1] &= ~(near & win[1:])
-        at, rank = at[keep], rank[keep]
-    at, rank = (np.concatenate(x) for x in zip(*chosen, strict=True))
-    by = np.argsort(at)
-    return at[by], rank[by]
+        at, rank, left = at[keep], rank[keep], left[keep]
+    return places[chosen], ranks[chosen]
 
 
 def _every_other(at: np.ndarray, twin: np.ndarray) -> np.ndarray:
@@ -98,16 +98,25 @@ def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds:
     symbol, half, code = (np.uint16, 16, np.uint32) if mark < 1 << 16 else (np.uint32, 32, np.uint64)
     row = np.where(symbols == NO_PAIR, np.uint32(mark), symbols).astype(symbol)
 
-    def pairs(at: np.ndarray) -> np.ndarray:
+    def coded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(code)
+        keys <<= code(half)
+        keys |= right
+        return keys
+
+    def counted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs at these places that no mark parts, and how often each is there."""
+        at = at[(at >= 0) & (at < len(row) - 1)]
         left, right = row[at], row[at + 1]
         inside = (left != mark) & (right != mark)
-        return left[inside].astype(code) << code(half) | right[inside]
+        return np.unique(coded(left[inside], right[inside]), return_counts=True)
 
     def slots(keys: np.ndarray) -> np.ndarray:
-        return (keys * code(0x9E3779B1)) >> code(2 * half - SLOT_BITS)
+        return ((keys * factor) >> code(2 * half - SLOT_BITS)).astype(np.intp)
 
-    begins, ends = np.zeros(mark + 1, bool), np.zeros(mark + 1, bool)  # symbols that begin and end a pair of this round
-    table, count = np.unique(pairs(np.arange(len(row) - 1)), return_counts=True)
+    factor = code(0x9E3779B1 if half == 16 else 0x9E3779B97F4A7C15)
+    filled, first_of = np.zeros(1 << SLOT_BITS, bool), np.zeros(1 << SLOT_BITS, np.int64)  # by slot: if a pair of this round is in it, and the first
+    table, count = counted(np.arange(len(row) - 1))
     rules: list[np.ndarray] = []
     total = 0
     while total < limit and (rounds is None or len(rules) < rounds):
@@ -121,16 +130,21 @@ def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds:
         left, right = table[order] >> code(half), table[order] & code((1 << half) - 1)
         by = np.argsort(table[order])
         wanted = table[order][by]
-        begins[left] = ends[right] = True
-        at = np.flatnonzero(begins[row[:-1]] & ends[row[1:]])
-        begins[left] = ends[right] = False
-        filled = np.zeros(1 << SLOT_BITS, bool)
-        filled[slots(wanted)] = True
-        keys = row[at].astype(code) << code(half) | row[at + 1]
-        some = np.flatnonzero(filled[slots(keys)])
-        where = np.minimum(np.searchsorted(wanted, keys[some]), len(wanted) - 1)
-        found = wanted[where] == keys[some]
-        at, rank = at[some[found]], by[where[found]]
+        taken = slots(wanted)
+        filled[taken], first_of[taken[::-1]] = True, np.arange(len(wanted))[::-1]
+        some = []
+        for a in range(0, len(row) - 1, STRETCH):  # so that what is in between stays in the processor's cache
+            keys = coded(row[a : min(a + STRETCH, len(row) - 1)], row[a + 1 : a + 1 + STRETCH])
+            places = slots(keys)
+            hit = np.flatnonzero(filled.take(places))
+            some.append((hit + a, keys[hit], first_of[places[hit]]))
+        filled[taken] = False
+        at, keys, where = (np.concatenate(x) for x in zip(*some, strict=True))
+        found = wanted[where] == keys
+        others = np.flatnonzero(~found)  # not wanted, or behind another pair of the slot
+        where[others] = np.minimum(np.searchsorted(wanted, keys[others]), len(wanted) - 1)
+        found[others] = wanted[where[others]] == keys[others]
+        at, rank = at[found], by[where[found]]
         keep = _every_other(at, (left == right)[rank])
         at, rank = at[keep], rank[keep]
         good = np.bincount(rank, minlength=len(order)) >= least
@@ -145,9 +159,10 @@ def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds:
             good &= ~few
         if not good.any():
             continue
-        touched = np.zeros(len(row) + 1, bool)
-        touched[chosen] = touched[chosen + 1] = touched[chosen - 1] = True
-        lost, times = np.unique(pairs(np.flatnonzero(touched[: len(row) - 1])), return_counts=True)
+        touched = np.stack([chosen - 1, chosen, chosen + 1], 1)
+        apart = np.ones(touched.shape, bool)
+        apart[1:, 0] = touched[1:, 0] != touched[:-1, 2]  # else the pair between two chosen ones, once
+        lost, times = counted(touched[apart])
         where = np.minimum(np.searchsorted(table, lost), len(table) - 1)
         found = table[where] == lost
         count[where[found]] -= times[found]
@@ -156,11 +171,12 @@ def compress(symbols: np.ndarray, first: int, least: int | None = None, rounds:
         keep[chosen + 1] = False
         row = row[keep]
         placed = chosen - np.arange(len(chosen))
-        touched = np.zeros(len(row) + 1, bool)
-        touched[placed] = touched[placed - 1] = True
-        new, times = np.unique(pairs(np.flatnonzero(touched[: len(row) - 1])), return_counts=True)
+        touched = np.stack([placed - 1, placed], 1)
+        apart = np.ones(touched.shape, bool)
+        apart[1:, 0] = touched[1:, 0] != touched[:-1, 1]
+        new, times = counted(touched[apart])
         table, count = np.r_[table, new[times >= least]], np.r_[count, times[times >= least]]
-        by = np.argsort(table)
+        by = np.argsort(table, kind="stable")  # two ascending stretches
         table, count = table[by], count[by]
         rules.append(np.stack([left[good], right[good]], 1).astype(np.int64))
         total += int(good.sum())

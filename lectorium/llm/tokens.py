@@ -4,7 +4,9 @@ Byte-level BPE never merges across the boundaries that its splitting pattern set
 a space or line feed that follows a character other than white space. So a text may be cut there, each piece's ids
 looked up or computed by the tokenizers library, and the ids joined: the result is the library's for the whole text.
 A text where some white space is followed by a space or line feed, or that has a special token's string in it, is encoded
-whole instead.
+whole instead. The pattern also sets a boundary between a letter or digit and marks such as a full stop, so a word is
+looked up without the marks at its end, and these apart from it: a word is computed once whatever follows it. Arrow finds
+the different words of a slice, so each is looked up once a slice.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import os
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept_one
 
@@ -20,6 +24,9 @@ CACHE = 800_000
 BATCH = 2_000
 # White space of the splitting pattern, and control characters that Python counts as white space.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0                　"
+# The splitting pattern sets a boundary between letters or digits and such marks. Letters here are some of those that it knows.
+MARKS = ".,!?;:&%$#*"
+BEFORE_MARKS = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
 
 
 def default_path() -> str:
@@ -88,49 +95,57 @@ class Encoder:
         """Ids of all texts one after the other, and where each text's begin, with the end."""
         if len(self.known) > CACHE:
             self._thin()
-        cut: list[list[str] | None] = []
-        direct: list[int] = []
-        for at, text in enumerate(texts):
-            if not text:
-                cut.append([])
-            elif self.whole(text):
-                cut.append(None)
-                direct.append(at)
-            else:
-                pieces = text.replace("\n", " \n").split(" ")
-                # what comes before the first cut has no space to give back: it goes by a key of its own
-                if pieces[0]:
-                    pieces[0] = "\0" + pieces[0]
-                else:
-                    del pieces[0]
-                cut.append(pieces)
+        some = self.whole("".join(texts))  # of most slices no text is, and one search says so
+        direct = [at for at, text in enumerate(texts) if some and self.whole(text)]
         own = self._ids([texts[at] for at in direct])
-        known = self.known
-        lists = [c for c in cut if c is not None]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = list(chain.from_iterable(lists))
-        code = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        rest = list(texts)
+        for at in direct:
+            rest[at] = ""
+        # what comes before the first cut has no space to give back: it goes by a key of its own
+        mark, nothing = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
+        marked = pc.binary_join_element_wise(mark, pc.replace_substring(pa.array(rest, pa.large_string()), "\n", " \n"), nothing)
+        lists = pc.split_pattern(marked, " ")
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        # a word is looked up once a slice, and its ids are put side by side
+        number = self._numbers(words.dictionary)
+        np.add.at(self.uses, number, np.bincount(at, minlength=len(number) // 2).astype(np.int32).repeat(2))
+        own_ids, ends = self._gathered(self.arena, self.starts[number], self.sizes[number])
+        ends = np.r_[0, ends[1::2]]
+        joined, ends = self._gathered(own_ids, ends[:-1][at], np.diff(ends)[at])
+        bounds = np.r_[0, ends][lists.offsets.to_numpy()]
+        if not direct:
+            return joined, bounds
+        parts, begin = [], 0
+        for at, ids in zip(direct, own, strict=True):
+            parts += [joined[begin : bounds[at]], np.array(ids, np.uint32)]
+            begin = bounds[at]
+        longer = np.zeros(len(texts), np.int64)
+        longer[direct] = [len(ids) for ids in own]
+        return np.concatenate([*parts, joined[begin:]]), bounds + np.r_[0, np.cumsum(longer)]
+
+    @staticmethod
+    def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The stretches of ids one after the other, and where each ends."""
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Two numbers a word: of the word without the marks at its end, where a letter or digit is before them, and of the marks, or else of nothing."""
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        shorter = np.flatnonzero(pc.less(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        stems = stems.take(pa.array(shorter))
+        parted = pc.match_substring_regex(stems, BEFORE_MARKS).to_numpy(zero_copy_only=False)
+        shorter, stems = shorter[parted], stems.filter(pa.array(parted))
+        keys, known = words.to_numpy(zero_copy_only=False), self.known
+        number = np.full((len(keys), 2), known["\0"], np.int64)
+        number[shorter, 1] = [known["\0" + word[n:]] for word, n in zip(keys[shorter], pc.utf8_length(stems).to_pylist(), strict=True)]
+        keys[shorter] = stems.to_numpy(zero_copy_only=False)
+        number[:, 0] = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
         if known.fresh:
             self._add_keys(known.fresh, len(known) - len(known.fresh))
             known.fresh = []
-        self.uses[: len(known)] += np.bincount(code, minlength=len(known)).astype(np.int32)
-        sizes = self.sizes[code]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        joined = self.arena[np.repeat(self.starts[code] - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)].astype(np.int64)]
-        if not direct:
-            return joined, bounds
-        parts, offsets, k, d = [], [0], 0, 0
-        for c in cut:
-            if c is None:
-                parts.append(np.array(own[d], np.uint32))
-                d += 1
-            else:
-                parts.append(joined[bounds[k] : bounds[k + 1]])
-                k += 1
-            offsets.append(offsets[-1] + len(parts[-1]))
-        return np.concatenate(parts) if parts else joined, np.array(offsets, np.int64)
+        return number.ravel()
 
     def _add_keys(self, keys: list[str], first: int) -> None:
         """Compute new words, numbered from first, most of them side by side in longer texts: each begins a token there."""

@@ -43,6 +43,30 @@ def test_encoder_with_a_small_cache(tokenizer, monkeypatch):
         assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(40)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_marks_at_the_end_of_a_word_make_no_new_word(tokenizer):
+    """A word is computed once, whatever marks follow it."""
+    given, own = [], tokens.Encoder(tokens.default_path())
+    compute = own._ids
+    own._ids = lambda texts: given.extend(texts) or compute(texts)
+    ends = ["", ".", ",", "!!", ".,", "&&&"]
+    texts = [" ".join(f"{a}one{b}{end}" for a in "bcdfgh" for b in "aeiou\u00e9") for end in ends]
+    ids, bounds = own.encode(texts)
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sum(text.count("one") for text in given) == 36
+
+
+def test_marks_after_odd_characters(tokenizer):
+    parts = random.Random(8)
+    alphabet = [" ", "\n", ".", ",", "!?", "#", "&", "'", "'s", "'re", "-", "\u00d7", "\u00f7", "\u0301", "\u00aa", "\u00b2", "\u01c5", "\u0250", "\u0416", "\u65e5", "\u0660", "7", "a", "\u00e9", "Tion", "\t", "\U0001f600", "_"]
+    texts = ["".join(parts.choice(alphabet) for _ in range(parts.randint(0, 9))) for _ in range(20_000)]
+    own = tokens.Encoder(tokens.default_path())
+    for a in (0, 10_000):
+        ids, bounds = own.encode(texts[a : a + 10_000])
+        for i, e in enumerate(tokenizer.encode_batch(texts[a : a + 10_000], add_special_tokens=False)):
+            assert e.ids == ids[bounds[i] : bounds[i + 1]].tolist(), repr(texts[a + i])
+    assert [x.tolist() for x in own.encode([])] == [[], [0]] and own.encode([""])[1].tolist() == [0, 0]
+
+
 def test_pieces_are_the_library_at_rate_zero():
     texts = [t for t in random_texts(4000) if "▁" not in t]
     own = pieces.Encoder(pieces.default_path(), 0.0, 0)
@@ -159,6 +183,16 @@ def test_batches_of_pairs_equal_single_replacements():
     assert got.tolist() == out and len(rules)
 
 
+def test_shards_have_the_bytes_they_had():
+    """Of two and of four bytes a symbol: by the code of round 3, which scanned the symbols otherwise."""
+    rng = np.random.default_rng(11)
+    words = [rng.integers(0, 300, rng.integers(1, 6)) for _ in range(400)]
+    for row, crc in ((np.concatenate([words[i] for i in rng.integers(0, 400, 30_000) ** 2 // 400]), 3558916856), (np.tile(rng.integers(0, 70_000, 900), 40), 1302456591)):
+        bounds = np.unique(np.r_[0, rng.integers(0, len(row), 50), len(row)])
+        payload = tokenfile.write_shard(list(range(len(bounds) - 1)), row.astype(np.uint32), bounds)
+        assert zlib.crc32(payload) == crc
+
+
 def test_packing(tokenizer, odd, odd_rows, none):
     rows = packing.pack(odd, size=64).collect()
     sequences = {}
